@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, leaks, spans, split
+from corvane.llm import bpe, docs, leaks, near, spans, split, vectors
 from corvane.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,30 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods with meaningful documentation."""
+    return docs.documented(table(spark, d, "symbols")).select("symbol_id").distinct()
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Those functions with their documentation."""
+    return docs.documented(table(spark, d, "symbols")).distinct()
+
+
+def _both(spark: SparkSession, d: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return operator(table(spark, d, "symbols")).withColumn("record_type", F.lit("symbol")).unionByName(operator(table(spark, d, "chunks")).withColumn("record_type", F.lit("chunk")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of near-duplicate symbols, and of near-duplicate chunks."""
+    return _both(spark, d, near.near_pairs).select("record_type", "id_a", "id_b")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of symbols, and of chunks, whose vectors are among each other's nearest."""
+    return _both(spark, d, vectors.similar_pairs).select("record_type", "id_a", "id_b")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document's token ids."""
     return bpe.encode(table(spark, d, "documents"))
@@ -45,7 +69,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage."""
-    return {f.__name__: f for f in (p2_found, p2_pieces, p7_ids, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
