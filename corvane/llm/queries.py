@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, docs, leaks, near, spans, split, vectors
+from corvane.llm import bpe, docs, leaks, machine, near, secrets, spans, split, vectors
 from corvane.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that nobody wrote by hand."""
+    return machine.machine_made(table(spark, d, "files"), table(spark, d, "chunks")).select("file_id").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that have to be cut."""
     return split.split_oversized(table(spark, d, "chunks")).filter("pieces > 1").select("chunk_id").distinct()
@@ -37,6 +42,17 @@ def _both(spark: SparkSession, d: str, operator: Callable[[DataFrame], DataFrame
     return operator(table(spark, d, "symbols")).withColumn("record_type", F.lit("symbol")).unionByName(operator(table(spark, d, "chunks")).withColumn("record_type", F.lit("chunk")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines on which a literal credential begins."""
+    found = _both(spark, d, secrets.credentials)
+    return found.select("record_type", F.col("id").alias("record_id"), F.explode("lines").alias("line_no")).distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The records with credentials, masked."""
+    return _both(spark, d, secrets.credentials).select("record_type", "id", "redacted").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near-duplicate symbols, and of near-duplicate chunks."""
     return _both(spark, d, near.near_pairs).select("record_type", "id_a", "id_b")
@@ -69,7 +85,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage."""
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
