@@ -21,7 +21,7 @@ import heapq
 import json
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -80,11 +80,16 @@ class LiteralMap:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         return [signed((hashes[k] >> 20 << 20) | entries[k]) if k is not None else 0 for k in held]
 
-    def __call__(self, key: Column) -> Column:
+    def use(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``body`` of a look-up function; the literal stands in the plan once, however often that is called."""
         mask, low = F.lit(self.mask), F.lit((1 << 20) - 1)
-        slot = lambda i: F.get(self.col, i.bitwiseAND(mask).cast("int"))
-        value = lambda e, h: F.when(F.shiftright(e.bitwiseXOR(h), 20) == 0, e.bitwiseAND(low).cast("int"))
-        return _let(F.xxhash64(key), lambda h: F.coalesce(value(slot(h), h), value(slot(F.shiftrightunsigned(h, 32)), h)))
+
+        def look_up(slots: Column, key: Column) -> Column:
+            slot = lambda i: F.get(slots, i.bitwiseAND(mask).cast("int"))
+            value = lambda e, h: F.when(F.shiftright(e.bitwiseXOR(h), 20) == 0, e.bitwiseAND(low).cast("int"))
+            return _let(F.xxhash64(key), lambda h: F.coalesce(value(slot(h), h), value(slot(F.shiftrightunsigned(h, 32)), h)))
+
+        return _let(self.col, lambda slots: body(lambda key: look_up(slots, key)))
 
 
 def as_bytes(word: Column) -> Column:
@@ -97,7 +102,7 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_merges(word: Column, rank: LiteralMap) -> Column:
+def fold_merges(word: Column, rank: Callable[[Column], Column]) -> Column:
     """The ids of one word, given as :func:`as_bytes` gives it; all ids are ranks."""
 
     def pair_ranks(parts: Column) -> Column:
@@ -148,7 +153,7 @@ def heap_merges(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def ids_of_word(word: Column, rank: LiteralMap) -> Column:
+def ids_of_word(word: Column, rank: Callable[[Column], Column]) -> Column:
     """The ids of a word: its rank if it is a token as a whole, else what :func:`fold_merges` gives."""
     return _let(as_bytes(word), lambda b: _let(rank(b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold_merges(b, rank))))
 
@@ -173,7 +178,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     texts = docs.filter(F.length(text) > 0).select(F.col(text).alias("_text"))
     counted = texts.mapInArrow(count, "word string, n bigint").filter(F.octet_length("word") <= long)
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent)
-    known = spark.sparkContext.broadcast({r.word: r.ids for r in top.select("word", ids_of_word(F.col("word"), rank).alias("ids")).collect()})  # at most ``frequent`` rows
+    known = spark.sparkContext.broadcast({r.word: r.ids for r in top.select("word", rank.use(lambda r: ids_of_word(F.col("word"), r)).alias("ids")).collect()})  # at most ``frequent`` rows
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, table, ranks = regex.compile(PATTERN).findall, known.value, None
@@ -202,8 +207,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     named = docs.select(F.col(key), F.col(text).alias("_text"))
     looked = named.mapInArrow(look_up, f"`{key}` {docs.schema[key].dataType.simpleString()}, parts array<struct<ids:array<int>,word:string>>")
     none = F.array().cast("array<int>")
-    whole = lambda p: F.when(p["word"].isNull(), p["ids"]).otherwise(F.concat(p["ids"], ids_of_word(F.coalesce(p["word"], F.lit("")), rank)))
-    return looked.select(key, F.when(F.size("parts") == 1, F.get(F.col("parts"), F.lit(0))["ids"]).otherwise(F.coalesce(F.flatten(F.transform("parts", whole)), none)).alias("ids"))
+    whole = lambda p, r: F.when(p["word"].isNull(), p["ids"]).otherwise(F.concat(p["ids"], ids_of_word(F.coalesce(p["word"], F.lit("")), r)))
+    rest = rank.use(lambda r: F.flatten(F.transform("parts", lambda p: whole(p, r))))
+    return looked.select(key, F.when(F.size("parts") == 1, F.get(F.col("parts"), F.lit(0))["ids"]).otherwise(F.coalesce(rest, none)).alias("ids"))
 
 
 def decode(encoded: DataFrame, spark: SparkSession | None = None, ids: str = "ids", out: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
