@@ -229,7 +229,7 @@ DOCS = {"python": (r'(?s)"""(.*?)"""', 20), "typescript": (r"(?s)/\*\*(.*?)\*/",
 def doc_comments(content: Column, family: str) -> Column:
     """The texts of a family's documentation comments that are long enough to say something."""
     pattern, least = DOCS[family]
-    clean = F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)), lambda d: F.trim(F.regexp_replace(d, r"\s*\*\s*", " ") if "*" in pattern else d))
+    clean = F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)), lambda d: F.regexp_replace(F.regexp_replace(d, r"\s*\*\s*", " ") if "*" in pattern else d, r"^\s+|\s+$", ""))
     return F.filter(clean, lambda d: F.length(d) > least)
 
 

@@ -205,7 +205,7 @@ def parser28_frameworks(t: _Tables) -> DataFrame:
     return t.symbols.select("id", parsers.framework(F.col("language"), F.col("content")).alias("framework"))
 
 
-@_query("SELECT id, list_filter(list_transform(regexp_extract_all(content, '(?s)/\\*\\*(.*?)\\*/', 1), lambda x: trim(regexp_replace(x, '\\s*\\*\\s*', ' ', 'g'))), lambda x: length(x) > 10) AS docs FROM " + S.last("symbols"))
+@_query("SELECT id, list_filter(list_transform(regexp_extract_all(content, '(?s)/\\*\\*(.*?)\\*/', 1), lambda x: regexp_replace(regexp_replace(x, '\\s*\\*\\s*', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 10) AS docs FROM " + S.last("symbols"))
 def parser21_doc_comments(t: _Tables) -> DataFrame:
     """Documentation comments of symbols."""
     return t.symbols.select("id", parsers.doc_comments(F.col("content"), "generic").alias("docs"))
