@@ -82,7 +82,7 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(h):
         return record, h
     least = h.copy()
-    for i in range(1, WINDOW):  # the least of each window that stays within its text
+    for i in range(1, min(WINDOW, len(h))):  # the least of each window that stays within its text
         same = record[i:] == record[: len(record) - i]
         least[: len(h) - i] = np.where(same, np.minimum(least[: len(h) - i], h[i:]), least[: len(h) - i])
     pick = np.append(True, (least[1:] != least[:-1]) | (record[1:] != record[:-1]))
