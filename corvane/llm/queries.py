@@ -88,8 +88,29 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_shared)}
 
 
+def _last(name: str) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, inserted_at DESC NULLS LAST) AS _rn FROM {name}) WHERE _rn = 1)"
+
+
+_RECORDS = f"SELECT 'symbol' AS record_type, id, content, embedding FROM {_last('symbols')} UNION ALL SELECT 'chunk', id, content, embedding FROM {_last('chunks')}"
+
+
 def oracle_sql() -> dict[str, str]:
-    """The queries that SQL can state on whole tables."""
+    """The queries that SQL can state on whole tables; the others are tested against brute force."""
     return {
         "p2_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(content) > 2048",
+        "p5_found": f"WITH w AS (SELECT record_type, id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM ({_RECORDS})), "
+        "g AS (SELECT DISTINCT record_type, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT record_type, id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)), "
+        "n AS (SELECT record_type, id, count(*) AS n FROM g GROUP BY ALL), "
+        "s AS (SELECT a.record_type, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.record_type = b.record_type AND a.g = b.g AND a.id < b.id GROUP BY ALL) "
+        "SELECT s.record_type, id_a, id_b FROM s JOIN n a ON a.record_type = s.record_type AND a.id = id_a JOIN n b ON b.record_type = s.record_type AND b.id = id_b WHERE 10 * c >= 7 * (a.n + b.n - c)",
+        "p6_found": f"WITH v AS (SELECT record_type, id, CAST(embedding AS DOUBLE[]) AS v FROM ({_RECORDS}) WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0), "
+        "c AS (SELECT a.record_type, a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.record_type = b.record_type AND a.id <> b.id), "
+        "t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY record_type, x ORDER BY c DESC, y) <= 10) "
+        "SELECT DISTINCT record_type, least(x, y) AS id_a, greatest(x, y) AS id_b FROM t WHERE c >= 0.9",
+        "p8_found": "WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE length(text) > 0), e AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items), "
+        "dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 15], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 14)) AS i FROM d)), eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 15], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 14)) AS i FROM e)) "
+        "SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
+        "p9_found": "WITH s AS (SELECT DISTINCT doc_id, hash(substring(text, i, 400)) AS h FROM (SELECT doc_id, text, CAST(unnest(range(1, length(text) - 398)) AS BIGINT) AS i FROM documents WHERE length(text) >= 400)) "
+        "SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
     }
