@@ -177,7 +177,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
 
     texts = docs.filter(F.length(text) > 0).select(F.col(text).alias("_text"))
     counted = texts.mapInArrow(count, "word string, n bigint").filter(F.octet_length("word") <= long)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent)
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent).repartition(spark.sparkContext.defaultParallelism)  # else one task would fold them all
     known = spark.sparkContext.broadcast({r.word: r.ids for r in top.select("word", rank.use(lambda r: ids_of_word(F.col("word"), r)).alias("ids")).collect()})  # at most ``frequent`` rows
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
