@@ -163,3 +163,31 @@ def rebuilt(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
     gone = changed.select("id")
     kept = old.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return kept.select("src", "dst", "kind").unionByName(new.select("src", "dst", "kind")).distinct()
+
+
+def import_edges(sources: DataFrame, files: DataFrame, text: str = "content") -> DataFrame:
+    """(project_id, src, dst) file edges of what source files (project_id, path, language, content) import.
+
+    An import names a path of the project, or a path relative to the importing
+    file (``./x``, ``../x``), with or without its extension, or a dotted name
+    whose parts are the end of a path. All three are equi-joins on keys made of
+    the files' paths; ambiguous names lead to every file they fit, self-loops
+    are left out.
+    """
+    from corvane.operators.parsers import imports
+
+    lang = F.lower(F.coalesce("language", F.lit("")))
+    found = F.when(lang.isin("typescript", "tsx", "javascript"), imports(F.col(text), "typescript")).when(lang == "python", imports(F.col(text), "python")).when(lang == "elixir", imports(F.col(text), "elixir")).otherwise(imports(F.col(text), "generic"))
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    named = sources.select("project_id", F.col("path").alias("from_path"), folder.alias("folder"), F.explode(F.array_distinct(found)).alias("name"))
+    joined = F.concat("folder", F.regexp_replace("name", r"^(\./)+", ""))
+    for _ in range(8):  # each step up removes one folder
+        joined = F.regexp_replace(joined, r"(^|/)[^/.][^/]*/\.\./", "$1")
+    wanted = F.when(F.col("name").startswith("."), joined).when(F.contains(F.col("name"), F.lit("/")), F.col("name")).otherwise(F.replace("name", F.lit("."), F.lit("/")))
+    asked = named.select("project_id", "from_path", F.lower(wanted).alias("key")).distinct()
+    bare = F.lower(F.regexp_replace("path", r"\.[^./]*$", ""))
+    parts = F.split(bare, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(6))), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
+    keys = files.select("project_id", F.col("id").alias("dst"), F.explode(F.array_distinct(F.concat(F.array(F.lower("path"), bare), ends))).alias("key"))
+    origin = files.select("project_id", F.col("path").alias("from_path"), F.col("id").alias("src"))
+    return asked.join(keys, ["project_id", "key"]).join(origin, ["project_id", "from_path"]).filter("src <> dst").select("project_id", "src", "dst").distinct()

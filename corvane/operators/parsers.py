@@ -297,3 +297,22 @@ def parse(files: DataFrame, text: str = "content") -> DataFrame:
     yaml = extension(F.col("path")).isin(".yaml", ".yml")
     code = line_symbols(typed.filter(~yaml)).select("path", "language", "line_no", "kind", "name", "qualified_name", "visibility")
     return code.unionByName(yaml_symbols(typed.filter(yaml)).select("path", F.lit("config").alias("language"), "line_no", "kind", "name", "qualified_name", F.lit("public").alias("visibility")))
+
+
+#: A project's framework by its marker file and a text in it; the first that fits.
+PROJECT_FRAMEWORKS: list[tuple[str, list[str], str | None]] = [
+    ("Elixir/Phoenix", ["mix.exs"], ":phoenix"), ("Elixir/Nerves (embedded)", ["mix.exs"], ":nerves"), ("Elixir/Broadway (data pipelines)", ["mix.exs"], ":broadway"), ("Elixir/OTP", ["mix.exs"], None),
+    ("TypeScript/Next.js", ["package.json"], '"next"'), ("TypeScript/Nuxt.js", ["package.json"], '"nuxt"'), ("TypeScript/Angular", ["package.json"], '"@angular/core"'), ("TypeScript/React", ["package.json"], '"react"'),
+    ("TypeScript/Vue", ["package.json"], '"vue"'), ("TypeScript/NestJS", ["package.json"], '"@nestjs/core"'), ("Node.js/Express", ["package.json"], '"express"'), ("Node.js/TypeScript", ["package.json"], None),
+    ("Rust", ["Cargo.toml"], None), ("Go", ["go.mod"], None), ("Java/Maven", ["pom.xml"], None), ("Kotlin/Gradle or Java/Gradle", ["build.gradle", "build.gradle.kts"], None), ("Dart/Flutter", ["pubspec.yaml"], None),
+    ("Python/Django", ["pyproject.toml", "requirements.txt"], "django"), ("Python/FastAPI", ["pyproject.toml", "requirements.txt"], "fastapi"), ("Python/Flask", ["pyproject.toml", "requirements.txt"], "flask"),
+    ("Python/ML (PyTorch/TF)", ["pyproject.toml", "requirements.txt"], "torch"), ("Python/ML (PyTorch/TF)", ["pyproject.toml", "requirements.txt"], "tensorflow"), ("Python", ["pyproject.toml", "requirements.txt"], None),
+    ("Ruby on Rails", ["Gemfile"], "rails"), ("Ruby", ["Gemfile"], None), ("PHP/Laravel or Symfony", ["composer.json"], None),
+]
+
+
+def project_frameworks(files: DataFrame) -> DataFrame:
+    """(project_id, framework) by the marker files (project_id, path, content) at each project's root; projects without one give no row."""
+    found = [F.when(F.col("path").isin(*names) & (F.lit(True) if text is None else F.contains(F.coalesce("content", F.lit("")), F.lit(text))), F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"))) for i, (name, names, text) in enumerate(PROJECT_FRAMEWORKS)]
+    best = files.select("project_id", F.coalesce(*found).alias("f")).filter("f is not null").groupBy("project_id").agg(F.min("f").alias("f"))
+    return best.select("project_id", F.col("f.name").alias("framework"))

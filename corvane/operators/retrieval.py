@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import search_terms, tokens
 from corvane.functions.vectors import cosine
@@ -28,6 +29,7 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int = 25, vector: str
     and queries (null, of another size, not finite, zero) are left out.
     """
     spark = rows.sparkSession
+    query_arrow = to_arrow_type(queries.schema["query"].dataType)
     id_type, query_type = rows.schema[key].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
 
     def good(v: str) -> Column:
@@ -47,7 +49,7 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int = 25, vector: str
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            names = pa.array(names)
+            names = pa.array(names, query_arrow)
             for batch in batches:
                 x = np.asarray(batch.column(1).flatten()).reshape(-1, size)
                 scores = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
@@ -63,6 +65,39 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int = 25, vector: str
     return out.withColumn("score", F.round("score", 6)).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
+def approximate_search(queries: DataFrame, rows: DataFrame, k: int = 10, least: float = 0.9, recall: float = 0.95, vector: str = "embedding", key: str = "id", size: int = 64, cell: int = 64, seed: int = 11) -> DataFrame:
+    """(query, id, score): approximate :func:`vector_search` for rows of cosine ``least`` or more, through an index of signs of random projections.
+
+    All rows are indexed; the numbers of projections and of tables follow from
+    the number of rows, ``least`` and the asked ``recall``. Queries and rows
+    that share a cell of a table are compared exactly.
+    """
+    import math
+
+    held = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter((F.size("v") == size) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    asked = queries.select("query", F.col("vector").cast("array<double>").alias("v")).filter((F.size("v") == size) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    bits = max(1, math.ceil(math.log2(max(2, held.count() / cell))))
+    agree = 1 - math.acos(least) / math.pi
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - min(0.999999, agree**bits)))
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            planes = np.random.default_rng(seed).standard_normal((size, bits * tables))
+            powers = (1 << np.arange(bits)).astype(np.int64)
+            for batch in batches:
+                x = np.asarray(batch.column(1).flatten()).reshape(-1, size)
+                keys = ((x @ planes > 0).reshape(len(x), tables, bits) @ powers) + (np.arange(tables, dtype=np.int64) << 40)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=[name, "cells"])
+
+        return df.select(name, "v").mapInArrow(cells, f"{name} {df.schema[name].dataType.simpleString()}, cells array<bigint>").select(name, F.explode("cells").alias("cell"))
+
+    pairs = placed(asked, "query").join(placed(held, "id"), "cell").select("query", "id").distinct()
+    scored = pairs.join(asked.withColumnRenamed("v", "q"), "query").join(held, "id").select("query", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).filter(F.col("score") >= least)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+
 def bm25_search(queries: list[tuple[str, str]], rows: DataFrame, match: list[str], rank: list[str], k: int = 25, k1: float = 1.2, b: float = 0.75, key: str = "id") -> DataFrame:
     """(query, id, score): Okapi BM25 over the ``rank`` columns of the rows that match every term of a query as a prefix of a token of the ``match`` columns.
 

@@ -252,6 +252,12 @@ def v2_normalized(t: _Tables) -> DataFrame:
     return t.raw("embeddings").select("vec_id", F.round(F.aggregate(V.l2_normalize(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+@_query("SELECT query, id, score FROM (SELECT q.vec_id AS query, e.vec_id AS id, round(" + S.cosine("q.embedding", "e.embedding") + ", 6) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0) WHERE score >= 0.9 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10")
+def v4_approximate_knn(t: _Tables) -> DataFrame:
+    """Near embeddings of every 20th, through the index."""
+    return retrieval.approximate_search(_asked(t), t.raw("embeddings"), 10, key="vec_id")
+
+
 @_query("SELECT id, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0, false) AS valid FROM " + S.last("symbols"))
 def v3_dimension(t: _Tables) -> DataFrame:
     """Symbols whose vector has the right size and finite numbers."""
@@ -377,6 +383,13 @@ def j11_edge_resolution(t: _Tables) -> DataFrame:
     return graph.resolve_edges(by_path, t.files)
 
 
+@_query()
+def g1_import_graph(t: _Tables) -> DataFrame:
+    """File edges of what chunks import."""
+    of = t.files.select(F.col("id").alias("file_id"), "path", "language")
+    return graph.import_edges(t.chunks.select("project_id", "file_id", "content").join(of, "file_id"), t.files)
+
+
 # Metrics and statistics
 
 

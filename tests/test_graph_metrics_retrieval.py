@@ -142,3 +142,30 @@ def test_components_by_brute_force(spark):
         reach |= {(a, d) for (a, b), (c, d) in itertools.product(reach, reach) if b == c}
     want = {(a, min(b for b in range(30) if (a, b) in reach and (b, a) in reach)) for a in range(30) if any((a, b) in reach and (b, a) in reach and a != b for b in range(30))}
     assert {(r.id, r.component) for r in graph.components(e).collect()} == {(a, min(a, c)) for a, c in want}
+
+
+def test_import_graph(spark):
+    files = spark.createDataFrame([("1", "p", "src/app/main.ts"), ("2", "p", "src/lib/util.ts"), ("3", "p", "pkg/tool/run.py"), ("4", "p", "pkg/other.py"), ("5", "q", "src/lib/util.ts")], "id string, project_id string, path string")
+    sources = spark.createDataFrame([("p", "src/app/main.ts", "typescript", 'import x from "../lib/util"'), ("p", "pkg/other.py", "python", "from tool.run import go\nimport pkg.other"), ("p", "pkg/tool/run.py", None, None)], "project_id string, path string, language string, content string")
+    assert {(r.src, r.dst) for r in graph.import_edges(sources, files).collect()} == {("1", "2"), ("4", "3")}
+
+
+def test_project_frameworks(spark):
+    from corvane.operators import parsers
+
+    rows = [("a", "mix.exs", "{:phoenix}"), ("b", "package.json", "{}"), ("c", "requirements.txt", "flask"), ("d", "x.py", "django"), ("e", "Gemfile", None)]
+    got = {r.project_id: r.framework for r in parsers.project_frameworks(spark.createDataFrame(rows, "project_id string, path string, content string")).collect()}
+    assert got == {"a": "Elixir/Phoenix", "b": "Node.js/TypeScript", "c": "Python/Flask", "e": "Ruby"}
+
+
+def test_approximate_search(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *(x[:60] + rng.standard_normal((60, 64)) * 0.2)])] + [(999, None)]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>")
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "query int, vector array<double>")
+    want = {(r.query, r.id) for r in retrieval.vector_search(asked, df, 10).filter("score >= 0.9").collect()}
+    got = {(r.query, r.id) for r in retrieval.approximate_search(asked, df).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
