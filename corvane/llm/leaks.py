@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.llm.rolling import Substrings, code_points
 
@@ -156,7 +157,7 @@ def leaked(docs: DataFrame, items: DataFrame, least: int = 16, edits: int = 0, k
     def block(b: int) -> DataFrame:
         rows = items.select(item, passage).distinct().filter(F.pmod(F.xxhash64(item, passage), F.lit(blocks)) == b).collect()
         index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], least, edits))
-        types = [pa.int64() if docs.schema[key].dataType.simpleString() == "bigint" else None, pa.int64() if items.schema[item].dataType.simpleString() == "bigint" else None]
+        item_arrow = to_arrow_type(items.schema[item].dataType)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -168,7 +169,7 @@ def leaked(docs: DataFrame, items: DataFrame, least: int = 16, edits: int = 0, k
                         found = index.value.found(texts[begin : i + 1], least, edits)
                         if found:
                             which, item_keys, n = zip(*found, strict=True)
-                            yield pa.RecordBatch.from_arrays([keys.take(pa.array([begin + x for x in which])), pa.array(item_keys, types[1]), pa.array(n, pa.int32())], names=[key, item, "words"])
+                            yield pa.RecordBatch.from_arrays([keys.take(pa.array([begin + x for x in which])), pa.array(item_keys, item_arrow), pa.array(n, pa.int32())], names=[key, item, "words"])
                         begin, held = i + 1, 0
 
         return named.mapInArrow(search, kinds)
