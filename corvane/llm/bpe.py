@@ -20,6 +20,7 @@ import base64
 import heapq
 import json
 import os
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: Fixed value: the pattern that cuts a text into words before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pattern for texts of ASCII characters only, whose words the plain module finds three times faster.
+_ASCII = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: The broadcast table holds no more than so many words, each of at most LONG bytes.
 FREQUENT, LONG = 131_072, 64
 
@@ -45,6 +48,12 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def cutter() -> Callable[[str], list[str]]:
+    """A function that cuts a text into words."""
+    every, plain = regex.compile(PATTERN).findall, re.compile(_ASCII).findall
+    return lambda text: plain(text) if text.isascii() else every(text)
+
+
 class LiteralMap:
     """A constant map from strings to numbers below 2**20, usable inside lambdas.
 
@@ -168,11 +177,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     rank = LiteralMap({k.decode("latin-1"): v for k, v in ranks_of(vocabulary).items()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = regex.compile(PATTERN).findall
+        cut = cutter()
         for batch in batches:
             counts: Counter[str] = Counter()
-            for value in batch.column(0):
-                counts.update(cut(value.as_py()))
+            for text in batch.column(0).to_pylist():
+                counts.update(cut(text))
             yield pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
     texts = docs.filter(F.length(text) > 0).select(F.col(text).alias("_text"))
@@ -181,11 +190,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     known = spark.sparkContext.broadcast({r.word: r.ids for r in top.select("word", rank.use(lambda r: ids_of_word(F.col("word"), r)).alias("ids")).collect()})  # at most ``frequent`` rows
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, table, ranks = regex.compile(PATTERN).findall, known.value, None
+        cut, table, ranks = cutter(), known.value, None
         for batch in batches:
             out = []
-            for value in batch.column(1):
-                words = cut(value.as_py() or "")
+            for text in batch.column(1).to_pylist():
+                words = cut(text or "")
                 try:
                     out.append([{"ids": list(chain.from_iterable(map(table.__getitem__, words))), "word": None}])
                     continue

@@ -74,3 +74,10 @@ def test_heap_merges_equal_the_plain_rule():
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         assert bpe.heap_merges(word, ranks) == [ranks[p] for p in parts]
+
+
+def test_the_ascii_pattern_cuts_alike():
+    rng, every = random.Random(3), bpe.regex.compile(bpe.PATTERN).findall
+    for _ in range(3000):
+        text = "".join(rng.choice(" \t\n\r\x0b\x1c\x1f\x00aZ09'_-.stlve") for _ in range(rng.randint(0, 25)))
+        assert bpe.cutter()(text) == every(text)
