@@ -23,7 +23,7 @@ from corvane.sources.tables import latest
 GRAM, WINDOW = 8, 8
 _BATCH = 1_500_000
 #: A file is a copy if this share of its fingerprints stands in so many projects or more.
-SHARE, PROJECTS = 0.8, 12
+SHARE, PROJECTS = 0.8, 16
 #: Sizes that no hand-written file reaches.
 MOST_LINES, BYTES_PER_LINE = 8000, 200
 #: Folders of third-party copies, anywhere in a path.
@@ -124,9 +124,10 @@ def machine_made(files: DataFrame, chunks: DataFrame) -> DataFrame:
         F.max(F.regexp_replace(F.substring_index(F.ltrim("content"), "\n", 1), "\r", "").rlike(_NOTICE)).alias("notice"),
         (F.sum(F.octet_length("content")) / F.sum(F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1)).alias("per_line"),
         (F.sum(spaces) / F.sum(F.length("content"))).alias("loose"),
+        (F.sum(F.octet_length("content")) / F.sum(F.length("content"))).alias("width"),
     )
     joined = own.withColumn("file", F.xxhash64("id")).join(seen, "file", "left").join(copied_files(chunks), "file", "left")
-    dense = (F.col("per_line") >= BYTES_PER_LINE) & (F.col("loose") < 0.08)
+    dense = (F.col("per_line") >= BYTES_PER_LINE) & (F.col("loose") < 0.08) & (F.col("width") < 1.2)  # code without line breaks, not prose of other scripts
     by_size = (F.col("line_count") >= MOST_LINES) | F.when(F.col("size_bytes").isNotNull() & (F.col("line_count") > 0), F.col("size_bytes") / F.col("line_count") >= BYTES_PER_LINE).otherwise(dense)
     out = joined.select(
         F.col("id").alias("file_id"), machine_path(F.col("path")).alias("by_path"), F.coalesce(by_size, F.lit(False)).alias("by_size"),

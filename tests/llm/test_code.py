@@ -19,13 +19,13 @@ def test_machine_made(spark):
 
     rng = random.Random(4)
     body = " ".join(f"tok{rng.randrange(10**6)}" for _ in range(200))
-    files = [("copy%02d" % i, f"p{i}", f"src/c{i}.py", 100, 10, 1) for i in range(14)]
+    files = [("copy%02d" % i, f"p{i}", f"src/c{i}.py", 100, 10, 1) for i in range(18)]
     files += [("own", "p0", "src/own.py", None, None, 1), ("big", "p0", "src/big.py", 10, 9000, 1), ("wide", "p0", "src/w.js", 90_000, 3, 1), ("note", "p0", "src/n.py", 50, 5, 1), ("null", "p0", None, None, None, 1), ("late", "p0", "src/l.py", 100, 10, 1), ("late", "p0", "src/l.py", 90_000, 10, 2)]
     f = spark.createDataFrame(files, "id string, project_id string, path string, size_bytes bigint, line_count int, updated_at int")
-    chunks = [("copy%02d" % i, f"p{i}", body) for i in range(14)] + [("own", "p0", "def f():\n    return 1"), ("note", "p0", "// Code generated by tool. DO NOT EDIT.\nx = 1"), ("own", "p0", None), (None, None, "x")]
+    chunks = [("copy%02d" % i, f"p{i}", body) for i in range(18)] + [("own", "p0", "def f():\n    return 1"), ("note", "p0", "// Code generated by tool. DO NOT EDIT.\nx = 1"), ("own", "p0", None), (None, None, "x")]
     c = spark.createDataFrame(chunks, "file_id string, project_id string, content string")
     got = {r.file_id: r for r in machine.machine_made(f, c).collect()}
-    assert set(got) == {"copy%02d" % i for i in range(14)} | {"big", "wide", "note", "late"}
+    assert set(got) == {"copy%02d" % i for i in range(18)} | {"big", "wide", "note", "late"}
     assert got["copy03"].by_copies and got["note"].by_notice and got["big"].by_size and not got["big"].by_path
     assert machine.machine_made(f.limit(0), c).count() == 0 and machine.machine_made(f, c.limit(0)).count() == 3
 
