@@ -99,3 +99,39 @@ def test_credentials(spark):
     assert got["pem"].lines == [2] and got["pem"].redacted == f"k = 1\n{secrets.MASK}\nend"
     assert 2 in got["two"].lines and 4 in got["two"].lines and got["two"].redacted.startswith('a = 1\npassword = "********"\r\n')
     assert secrets.credentials(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("line", "secret"),
+    [
+        ('calendar_contraseña: "Zone.chann2169"', "Zone.chann2169"),
+        ('calendar_contraseña: "Zone.chann2169"', "Zone.chann2169"),
+        ('const statusContraseña = "Portal#recor5446"', "Portal#recor5446"),
+        ('bucket_kennwort = "Webhook%audit8034?"', "Webhook%audit8034?"),
+        ('relay_senha = "Badge-queue4410!"', "Badge-queue4410!"),
+        ('door_passcode = "Meter+vault7712"', "Meter+vault7712"),
+        ('ledger_pass = "Folder_node9034"', "Folder_node9034"),
+    ],
+)
+def test_credentials_under_any_name(line, secret):
+    begin = line.index(secret)
+    assert secrets.spans_of(line, secrets.trained()) == [(begin, begin + len(secret))]
+
+
+@pytest.mark.parametrize("line", ["Version 14.2 ändert die Größe des buffer und löscht alte buffer-Dateien.", "¿Por qué read_buffer devuelve un valor vacío después de 3 intentos?", 'title = "Order summary"'])
+def test_prose_and_titles_are_no_credentials(line):
+    assert secrets.spans_of(line, secrets.trained()) == []
+
+
+def test_name_parts_of_any_script():
+    assert secrets._parts("statusContraseña2XMLÄrger") == ["status", "contraseña", "2", "xml", "ärger"]
+
+
+def test_labels_are_those_of_all_features():
+    import random
+
+    field, rng = secrets.trained(), random.Random(11)
+    for _ in range(1500):
+        line = "".join(p for p, _ in secrets.made_up(rng))
+        tokens = [line[a:b] for a, b in secrets.lexed(line)]
+        assert not tokens or field.labels(tokens) == field.viterbi(secrets.features(tokens)), line
