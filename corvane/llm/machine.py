@@ -1,11 +1,12 @@
 """Files that nobody wrote by hand.
 
-Four kinds of evidence: what tools call their output and where third-party
+Five kinds of evidence: what tools call their output and where third-party
 copies lie (path), sizes that no hand-written file has, a notice at the top of a
-part of the file, and recurrence. Recurrence is measured by winnowing:
+part of the file, tables of numbers, and recurrence. Recurrence is measured by winnowing:
 the file's normalised token stream is hashed in k-grams, the least hash of each
 window is a fingerprint, and a file is a vendored copy if most of its
-fingerprints stand in files of many other projects.
+fingerprints stand in files of many other projects. Numbers are one token there,
+so all tables of numbers are alike; k-grams of numbers alone are no fingerprints.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ GRAM, WINDOW = 8, 8
 _BATCH = 1_500_000
 #: A file is a copy if this share of its fingerprints stands in so many projects or more.
 SHARE, PROJECTS = 0.8, 16
+#: A file is a table of numbers if this share of its words are numbers.
+NUMBERS = 0.8
 #: Sizes that no hand-written file reaches.
 MOST_LINES, BYTES_PER_LINE = 8000, 200
 #: Folders of third-party copies, anywhere in a path.
@@ -59,8 +62,8 @@ def machine_path(path: Column) -> Column:
     return F.coalesce(inside | top | name.isin(*LOCK_FILES) | name.rlike(_OUTPUT_NAME), F.lit(False))
 
 
-def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text's number, fingerprint): the winnowed hashes of each text's normalised token stream."""
+def _winnowed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, fingerprint) of the winnowed hashes of each text's normalised token stream, and how many words and numbers each text has."""
     low = [t.lower() for t in texts]
     sizes = np.array([len(t) + 1 for t in low])
     codes = code_points("\n".join(low) + "\n")
@@ -70,27 +73,35 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begin, end = edge[::2], edge[1::2]
     record = np.searchsorted(np.cumsum(sizes), begin, "right")
     name = Substrings(codes)(begin, end)
-    name[digit[begin]] = 1  # all numbers are one token
+    number = digit[begin]
+    name[number] = 1  # all numbers are one token
+    words, numbers = np.bincount(record, minlength=len(texts)), np.bincount(record[number], minlength=len(texts))
     n = len(name) - GRAM + 1
     if n < 1:
-        return np.zeros(0, int), np.zeros(0, np.uint64)
+        return np.zeros(0, int), np.zeros(0, np.uint64), words, numbers
     h = np.zeros(n, np.uint64)
     for i in range(GRAM):
         h = mix(h * np.uint64(0xA24BAED4963EE407) + name[i : i + n])
-    whole = record[:n] == record[GRAM - 1 : GRAM - 1 + n]
+    before = np.concatenate([[0], np.cumsum(number)])
+    whole = (record[:n] == record[GRAM - 1 : GRAM - 1 + n]) & (before[GRAM:] - before[:-GRAM] < GRAM)
     h, record = h[whole], record[:n][whole]
     if not len(h):
-        return record, h
+        return record, h, words, numbers
     least = h.copy()
     for i in range(1, min(WINDOW, len(h))):  # the least of each window that stays within its text
         same = record[i:] == record[: len(record) - i]
         least[: len(h) - i] = np.where(same, np.minimum(least[: len(h) - i], h[i:]), least[: len(h) - i])
     pick = np.append(True, (least[1:] != least[:-1]) | (record[1:] != record[:-1]))
-    return record[pick], least[pick]
+    return record[pick], least[pick], words, numbers
+
+
+def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text's number, fingerprint): the winnowed hashes of each text's normalised token stream."""
+    return _winnowed(texts)[:2]
 
 
 def copied_files(chunks: DataFrame, share: float = SHARE, projects: int = PROJECTS) -> DataFrame:
-    """(file, share): a 64-bit hash of the ids of files most of whose fingerprints stand in ``projects`` projects or more."""
+    """(file, copied, numbers) of a 64-bit hash of files' ids: whether most of their fingerprints stand in ``projects`` projects or more, and whether most of their words are numbers; files that are neither give no row."""
 
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,20 +109,28 @@ def copied_files(chunks: DataFrame, share: float = SHARE, projects: int = PROJEC
             for i, t in enumerate(texts):
                 held += len(t)
                 if held > _BATCH or i + 1 == len(texts):
-                    record, h = fingerprints(texts[begin : i + 1])
-                    at = pa.array(record + begin)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h.view(np.int64))], names=["file", "project", "print"])
+                    record, h, words, numbers = _winnowed(texts[begin : i + 1])
+                    own = np.flatnonzero(words)  # a text's counts stand beside its file's hash
+                    at, counted = pa.array(np.concatenate([record, own]) + begin), np.arange(len(record) + len(own)) < len(record)
+                    prints = np.concatenate([h.view(np.int64), batch.column(0).to_numpy()[begin + own]])
+                    count = lambda x: pa.array(np.concatenate([np.zeros(len(record), np.int32), x[own].astype(np.int32)]), mask=counted)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(prints), count(words), count(numbers)], names=["file", "project", "print", "words", "numbers"])
                     begin, held = i + 1, 0
 
     texts = chunks.filter(F.length("content") > 0).select(F.xxhash64("file_id").alias("file"), F.xxhash64("project_id").alias("project"), "content")
-    prints = texts.mapInArrow(winnow, "file bigint, project bigint, print bigint").repartition("print")
-    spread = prints.select("print", "project").distinct().groupBy("print").agg(F.count("*").alias("n")).filter(F.col("n") >= projects).select("print", F.lit(1).alias("common"))
-    shares = prints.join(spread, "print", "left").groupBy("file").agg(F.avg(F.coalesce("common", F.lit(0))).alias("share"))
-    return shares.filter(F.col("share") >= share)
+    prints = texts.mapInArrow(winnow, "file bigint, project bigint, print bigint, words int, numbers int").repartition("print")
+    spread = prints.filter("words is null").select("print", "project").distinct().groupBy("print").agg(F.count("*").alias("n")).filter(F.col("n") >= projects).select("print", F.lit(1).alias("common"))
+    shares = prints.join(spread, "print", "left").groupBy("file").agg(
+        F.avg(F.when(F.col("words").isNull(), F.coalesce("common", F.lit(0)))).alias("share"), F.sum("words").alias("words"), F.sum("numbers").alias("numbers"),
+    )
+    return shares.select(
+        "file", F.coalesce(F.col("share") >= share, F.lit(False)).alias("copied"),
+        F.coalesce((F.col("words") >= GRAM) & (F.col("numbers") >= NUMBERS * F.col("words")), F.lit(False)).alias("numbers"),
+    ).filter("copied or numbers")
 
 
 def machine_made(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, by_path, by_size, by_notice, by_copies) of every file that is not hand-written.
+    """(file_id, by_path, by_size, by_notice, by_copies, by_numbers) of every file that is not hand-written.
 
     A null size is judged by the file's chunks, if they hold code; null languages
     and line counts are judged by the rest. Of several deliveries of a file the
@@ -131,6 +150,6 @@ def machine_made(files: DataFrame, chunks: DataFrame) -> DataFrame:
     by_size = (F.col("line_count") >= MOST_LINES) | F.when(F.col("size_bytes").isNotNull() & (F.col("line_count") > 0), F.col("size_bytes") / F.col("line_count") >= BYTES_PER_LINE).otherwise(dense)
     out = joined.select(
         F.col("id").alias("file_id"), machine_path(F.col("path")).alias("by_path"), F.coalesce(by_size, F.lit(False)).alias("by_size"),
-        F.coalesce("notice", F.lit(False)).alias("by_notice"), F.col("share").isNotNull().alias("by_copies"),
+        F.coalesce("notice", F.lit(False)).alias("by_notice"), F.coalesce("copied", F.lit(False)).alias("by_copies"), F.coalesce("numbers", F.lit(False)).alias("by_numbers"),
     )
-    return out.filter("by_path or by_size or by_notice or by_copies")
+    return out.filter("by_path or by_size or by_notice or by_copies or by_numbers")

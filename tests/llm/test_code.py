@@ -30,6 +30,20 @@ def test_machine_made(spark):
     assert machine.machine_made(f.limit(0), c).count() == 0 and machine.machine_made(f, c.limit(0)).count() == 3
 
 
+def test_numbers_are_no_copies(spark):
+    import random
+
+    rng = random.Random(8)
+    table = lambda n: ", ".join(str(rng.randrange(10**5)) for _ in range(n))
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    texts = [(f"mixed{i}", f"p{i}", f"{own()} {table(200)} {own()} {table(200)} {own()} {table(40)}") for i in range(20)] + [("lut", "p0", table(60)), ("few", "p0", "1, 2"), ("code", "p0", "a b c d e f g 1 h i"), ("code", "p0", "no figures in this part")]
+    files = spark.createDataFrame([(i, p, f"src/{i}.c", 100, 10) for i, p, _ in texts[:-1]], "id string, project_id string, path string, size_bytes bigint, line_count int")
+    chunks = spark.createDataFrame(texts, "file_id string, project_id string, content string")
+    got = {r.file_id: r for r in machine.machine_made(files, chunks).collect()}
+    assert "lut" in got and got["lut"].by_numbers and not got["lut"].by_copies
+    assert not {"few", "code"} & set(got) and not any(r.by_copies for r in got.values())
+
+
 def test_fingerprints_are_local():
     a = " ".join(f"w{i}" for i in range(100))
     r, h = machine.fingerprints([a, "intro words come first " + a, "short"])
