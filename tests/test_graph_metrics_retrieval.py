@@ -169,3 +169,13 @@ def test_approximate_search(spark):
     want = {(r.query, r.id) for r in retrieval.vector_search(asked, df, 10).filter("score >= 0.9").collect()}
     got = {(r.query, r.id) for r in retrieval.approximate_search(asked, df).collect()}
     assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_recall_counts_all_relevant_symbols(spark, tmp_path):
+    from corvane.plans import queries
+
+    rows = [(f"s{i:02d}", f"queue{i}", f"m.queue{i}", "f()", "queue", "queue", 1, 1) for i in range(40)] + [("none", "other", "m.other", "f()", "x", "x", 1, 1)]
+    columns = "id string, name string, qualified_name string, signature string, docstring string, content string, updated_at int, inserted_at int"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/symbols.parquet")
+    got = {r.query: r for r in queries.queries()["r11_evaluation"](spark, str(tmp_path)).collect()}
+    assert got["q4"].recall_at_k == 5 / 40 and got["q4"].precision_at_k == 1 and got["q4"].mrr == 1
