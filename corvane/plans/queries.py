@@ -438,8 +438,8 @@ def f7_markers(t: _Tables) -> DataFrame:
     "SELECT project_id, count(*) AS symbols, round(count(embedding) * 100.0 / count(*), 1) AS embedded_pct, round(count(summary) * 100.0 / count(*), 1) AS summarised_pct, count(*) FILTER (WHERE kind IN ('function', 'method')) AS functions, count(*) FILTER (WHERE kind IN ('module', 'class')) AS modules, count(*) FILTER (WHERE regexp_matches(content, 'TODO|FIXME|HACK', 'i')) AS with_todo, 0 AS in_cycle FROM " + S.last("symbols") + " GROUP BY project_id"
 )
 def m4_project_audit(t: _Tables) -> DataFrame:
-    """Coverage and size of every project."""
-    return metrics.project_audit(t.symbols)
+    """Coverage and size of every project, and its symbols in cycles."""
+    return metrics.project_audit(t.symbols, graph.components(_symbol_edges(t)))
 
 
 @_query("SELECT f.id AS file_id, f.path, f.language, f.line_count, f.risk_score, coalesce(len(f.git_authors), 0) AS authors, m.afferent, m.efferent, m.instability, m.debt FROM " + S.last("files") + " f JOIN " + S.COUPLING + " m ON m.file_id = f.id")

@@ -179,3 +179,13 @@ def test_recall_counts_all_relevant_symbols(spark, tmp_path):
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/symbols.parquet")
     got = {r.query: r for r in queries.queries()["r11_evaluation"](spark, str(tmp_path)).collect()}
     assert got["q4"].recall_at_k == 5 / 40 and got["q4"].precision_at_k == 1 and got["q4"].mrr == 1
+
+
+def test_project_audit_counts_cycles(spark, tmp_path):
+    from corvane.plans import queries
+
+    symbols = spark.createDataFrame([(x, "p" if x in "abc" else "q", "function", "x", 1, 1) for x in "abcd"], "id string, project_id string, kind string, content string, updated_at int, inserted_at int")
+    symbols.selectExpr("*", "cast(null as array<float>) as embedding", "cast(null as string) as summary").write.parquet(f"{tmp_path}/symbols.parquet")
+    edges = [(f"e{i}", a, b, None, None, "calls", 1, 1) for i, (a, b) in enumerate(["ab", "ba", "bc", "cd"])]
+    spark.createDataFrame(edges, "id string, from_id string, to_id string, from_file_id string, to_file_id string, kind string, updated_at int, inserted_at int").write.parquet(f"{tmp_path}/relationships.parquet")
+    assert {r.project_id: r.in_cycle for r in queries.queries()["m4_project_audit"](spark, str(tmp_path)).collect()} == {"p": 2, "q": 0}
