@@ -181,13 +181,14 @@ def import_edges(sources: DataFrame, files: DataFrame, text: str = "content") ->
     folder = F.regexp_replace("path", "[^/]*$", "")
     named = sources.select("project_id", F.col("path").alias("from_path"), folder.alias("folder"), F.explode(F.array_distinct(found)).alias("name"))
     joined = F.concat("folder", F.regexp_replace("name", r"^(\./)+", ""))
-    for _ in range(8):  # each step up removes one folder
-        joined = F.regexp_replace(joined, r"(^|/)[^/.][^/]*/\.\./", "$1")
+    up = lambda held, part: (part == "..") & (F.size(held) > 0) & (F.coalesce(F.get(held, F.size(held) - 1), F.lit("")) != "..")
+    fold = lambda held, part: F.when(up(held, part), F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(part == ".", held).otherwise(F.concat(held, F.array(part)))
+    joined = F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), fold), "/")  # each step up removes one folder
     wanted = F.when(F.col("name").startswith("."), joined).when(F.contains(F.col("name"), F.lit("/")), F.col("name")).otherwise(F.replace("name", F.lit("."), F.lit("/")))
     asked = named.select("project_id", "from_path", F.lower(wanted).alias("key")).distinct()
     bare = F.lower(F.regexp_replace("path", r"\.[^./]*$", ""))
     parts = F.split(bare, "/")
-    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(6))), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
     keys = files.select("project_id", F.col("id").alias("dst"), F.explode(F.array_distinct(F.concat(F.array(F.lower("path"), bare), ends))).alias("key"))
     origin = files.select("project_id", F.col("path").alias("from_path"), F.col("id").alias("src"))
     return asked.join(keys, ["project_id", "key"]).join(origin, ["project_id", "from_path"]).filter("src <> dst").select("project_id", "src", "dst").distinct()

@@ -150,6 +150,13 @@ def test_import_graph(spark):
     assert {(r.src, r.dst) for r in graph.import_edges(sources, files).collect()} == {("1", "2"), ("4", "3")}
 
 
+def test_import_graph_of_deep_trees(spark):
+    deep = "/".join(f"d{i}" for i in range(10))
+    files = spark.createDataFrame([("1", "p", "src/main/java/com/acme/shop/core/data/model/base/Order.java"), ("2", "p", "src/main/java/App.java"), ("3", "p", f"{deep}/a.ts"), ("4", "p", "util.ts"), ("5", "p", ".hid/b.ts")], "id string, project_id string, path string")
+    sources = spark.createDataFrame([("p", "src/main/java/App.java", "python", "import com.acme.shop.core.data.model.base.Order"), ("p", f"{deep}/a.ts", "typescript", f'import x from "{"../" * 10}util"'), ("p", ".hid/b.ts", "typescript", 'import x from "../util"')], "project_id string, path string, language string, content string")
+    assert {(r.src, r.dst) for r in graph.import_edges(sources, files).collect()} == {("2", "1"), ("3", "4"), ("5", "4")}
+
+
 def test_project_frameworks(spark):
     from corvane.operators import parsers
 
