@@ -1,17 +1,17 @@
 """Encoding texts with a byte-level BPE vocabulary.
 
-Method: every distinct word of the corpus is turned into an array of bytes and
-folded by Spark's higher-order functions: each step merges the adjacent pair
-with the lowest rank, looked up in a literal rank map. A byte is held as the
-character of the same number (ISO-8859-1), so a run of bytes is a string.
-
-The corpus is read twice. First its words are counted, with partial counts per
-batch, so a shuffle moves each distinct word once a batch. The ``FREQUENT``
-most frequent ones are folded and broadcast (a bound that does not depend on
-the data); then each text is cut again and looked up. A word outside that table is
-folded where it stands, by the same expression: the result does not depend on
-``FREQUENT``, and no occurrence of a word is shuffled. Words of over ``LONG``
-bytes, on which the fold would be quadratic, take the same merges from a heap.
+Method: distinct words are turned into arrays of bytes and folded by Spark's
+higher-order functions: each step merges the adjacent pair with the lowest
+rank, looked up in a literal rank map. A byte is held as the character of the
+same number (ISO-8859-1), so a run of bytes is a string.
+
+Each text is cut into words once. A word that is a token as a whole has its
+rank as its id; of the others, each batch of ``BATCH`` characters of documents
+(or what a task has of them) keeps the distinct ones, which are folded within
+the same task, and their ids are put in their places. So nothing is shuffled,
+counted, collected or broadcast, the work is proportional to the corpus, and a
+lost task is simply run again. Words of over ``LONG`` bytes, on which the fold
+would be quadratic, take the same merges from a heap.
 """
 
 from __future__ import annotations
@@ -21,15 +21,16 @@ import heapq
 import json
 import os
 import re
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Folder of the vocabularies; a parameter of every function here.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -37,8 +38,8 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern for texts of ASCII characters only, whose words the plain module finds three times faster.
 _ASCII = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-#: The broadcast table holds no more than so many words, each of at most LONG bytes.
-FREQUENT, LONG = 131_072, 64
+#: Longest word in bytes that is folded, and characters of documents whose distinct words are folded together.
+LONG, BATCH = 64, 16_000_000
 
 
 @cache
@@ -48,19 +49,43 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def _class(prop: str) -> str:
+    """The characters up to U+FFFF that have a property, as ranges for a set of the plain module."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    return "".join(f"\\u{ord(m[0]):04x}-\\u{ord(m[-1]):04x}" for m in regex.findall(rf"(?:{prop})+", every) for m in _runs(m))
+
+
+def _runs(text: str) -> Iterator[str]:
+    """The parts of a text of rising characters that have no gap (the surrogates are one)."""
+    begin = 0
+    for i in range(1, len(text) + 1):
+        if i == len(text) or ord(text[i]) != ord(text[i - 1]) + 1:
+            yield text[begin:i]
+            begin = i
+
+
+@cache
 def cutter() -> Callable[[str], list[str]]:
-    """A function that cuts a text into words."""
+    """A function that cuts a text into words; the plain module, which is faster, takes all texts without characters above U+FFFF."""
     every, plain = regex.compile(PATTERN).findall, re.compile(_ASCII).findall
-    return lambda text: plain(text) if text.isascii() else every(text)
+    letter, number, space = map(_class, (r"\p{L}", r"\p{N}", r"\s"))
+    basic = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+    def cut(text: str) -> list[str]:
+        if text.isascii():
+            return plain(text)
+        return basic(text) if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else every(text)
+
+    return cut
 
 
 class LiteralMap:
-    """A constant map from strings to numbers below 2**20, usable inside lambdas.
+    """A constant map from the tokens to their ranks, usable inside lambdas.
 
     Spark searches a map's keys one by one, and a large literal of maps is slow
-    to ship. So this is one literal array of longs: a cuckoo table in which a
-    key can be in two slots; a slot holds 44 bits of the key's hash and the
-    value. Two keys are told apart by 60 bits of hash or more.
+    to ship. So this is two literal arrays: the tokens by rank, and a cuckoo
+    table of ranks in which a key's rank stands in one of two slots. What
+    stands there is compared with the key itself.
     """
 
     def __init__(self, entries: dict[str, int]):
@@ -71,7 +96,11 @@ class LiteralMap:
         while (slots := self._fill(entries, hashes, 1 << bits)) is None:
             bits += 1
         self.mask = len(slots) - 1
-        self.col = F.from_json(F.lit(json.dumps(slots)), "array<bigint>")
+        tokens = [""] * (max(entries.values(), default=0) + 1)
+        for token, r in entries.items():
+            tokens[r] = token
+        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")
+        self.col = F.struct(literal(slots, "int").alias("slots"), literal(tokens, "string").alias("tokens"))
 
     @staticmethod
     def _fill(entries: dict[str, int], hashes: dict[str, int], n: int) -> list[int] | None:
@@ -86,19 +115,18 @@ class LiteralMap:
                 at = (h >> 32) & (n - 1) if at == h & (n - 1) else h & (n - 1)
             else:
                 return None
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        return [signed((hashes[k] >> 20 << 20) | entries[k]) if k is not None else 0 for k in held]
+        return [-1 if k is None else entries[k] for k in held]
 
     def use(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """``body`` of a look-up function; the literal stands in the plan once, however often that is called."""
-        mask, low = F.lit(self.mask), F.lit((1 << 20) - 1)
+        mask = F.lit(self.mask)
 
-        def look_up(slots: Column, key: Column) -> Column:
-            slot = lambda i: F.get(slots, i.bitwiseAND(mask).cast("int"))
-            value = lambda e, h: F.when(F.shiftright(e.bitwiseXOR(h), 20) == 0, e.bitwiseAND(low).cast("int"))
-            return _let(F.xxhash64(key), lambda h: F.coalesce(value(slot(h), h), value(slot(F.shiftrightunsigned(h, 32)), h)))
+        def look_up(table: Column, key: Column) -> Column:
+            h = F.xxhash64(key)
+            one, two = (F.get(table["slots"], x.bitwiseAND(mask).cast("int")) for x in (h, F.shiftrightunsigned(h, 32)))
+            return F.when(F.get(table["tokens"], one) == key, one).when(F.get(table["tokens"], two) == key, two)
 
-        return _let(self.col, lambda slots: body(lambda key: look_up(slots, key)))
+        return _let(self.col, lambda table: body(lambda key: look_up(table, key)))
 
 
 def as_bytes(word: Column) -> Column:
@@ -162,63 +190,71 @@ def heap_merges(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def ids_of_word(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """The ids of a word: its rank if it is a token as a whole, else what :func:`fold_merges` gives."""
-    return _let(as_bytes(word), lambda b: _let(rank(b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold_merges(b, rank))))
-
-
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", batch: int = BATCH) -> DataFrame:
     """``key`` and ``ids`` (array<int>) of every row: its text in the vocabulary, without special tokens.
 
     Null and empty texts give an empty list; text that looks like a special
     token is ordinary text; rows are kept as they are, repeated keys too.
     """
-    spark, long = docs.sparkSession, LONG
     rank = LiteralMap({k.decode("latin-1"): v for k, v in ranks_of(vocabulary).items()})
+    kind, key_arrow, long = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType), LONG
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = cutter()
-        for batch in batches:
-            counts: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(cut(text))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
-
-    texts = docs.filter(F.length(text) > 0).select(F.col(text).alias("_text"))
-    counted = texts.mapInArrow(count, "word string, n bigint").filter(F.octet_length("word") <= long)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent).repartition(spark.sparkContext.defaultParallelism)  # else one task would fold them all
-    known = spark.sparkContext.broadcast({r.word: r.ids for r in top.select("word", rank.use(lambda r: ids_of_word(F.col("word"), r)).alias("ids")).collect()})  # at most ``frequent`` rows
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, table, ranks = cutter(), known.value, None
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = cut(text or "")
+    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per batch of documents: their keys, the number of words of each, every word's rank or -1 - its place among ``words``."""
+        cut, ranks = cutter(), ranks_of(vocabulary)
+        known = {t: r for k, r in ranks.items() if (t := k.decode("utf-8", "ignore")) and t.encode() == k}
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(key_arrow)), pa.array([sizes.tobytes()]), pa.array([codes.tobytes()]), pa.array([list(places)], pa.list_(pa.string()))], names=["keys", "sizes", "codes", "words"])
+
+        keys, sizes, codes, places, held = [], array("i"), array("i"), {}, 0
+        for rows in batches:
+            for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                begin = len(codes)
+                words = cut(t or "")
                 try:
-                    out.append([{"ids": list(chain.from_iterable(map(table.__getitem__, words))), "word": None}])
-                    continue
+                    codes.extend(map(known.__getitem__, words))
                 except KeyError:
-                    parts, ids = [], []
-                for w in words:
-                    if (found := table.get(w)) is not None:
-                        ids += found
-                    elif len(w) > long or len(w.encode()) > long:
-                        ranks = ranks or ranks_of(vocabulary)
-                        ids += heap_merges(w.encode(), ranks)
-                    else:
-                        parts.append({"ids": ids, "word": w})
-                        ids = []
-                out.append([*parts, {"ids": ids, "word": None}])
-            kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("word", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=[key, "parts"])
+                    del codes[begin:]
+                    for w in words:
+                        if (r := known.get(w)) is not None:
+                            codes.append(r)
+                        elif len(w) <= long and len(w.encode()) <= long:
+                            codes.append(-1 - places.setdefault(w, len(places)))
+                        else:
+                            codes.extend(heap_merges(w.encode(), ranks))
+                keys.append(k)
+                sizes.append(len(codes) - begin)
+                held += len(t or "")
+                if held >= batch:
+                    yield row()
+                    keys, sizes, codes, places, held = [], array("i"), array("i"), {}, 0
+        if keys:
+            yield row()
+
+    def put_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                sizes, codes = (np.frombuffer(rows.column(c)[i].as_buffer(), np.int32) for c in (1, 2))
+                folded = rows.column(3).slice(i, 1).flatten()
+                edge, ids = folded.offsets.to_numpy().astype(np.int64), folded.values.to_numpy()
+                word = np.flatnonzero(codes < 0)
+                place = -1 - codes[word].astype(np.int64)
+                width = np.ones(len(codes), np.int64)
+                width[word] = edge[place + 1] - edge[place]
+                end = np.cumsum(width)
+                out = np.empty(int(end[-1]) if len(end) else 0, np.int32)
+                out[end[codes >= 0] - 1] = codes[codes >= 0]
+                many = width[word]
+                inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                out[np.repeat(end[word] - many, many) + inner] = ids[np.repeat(edge[place], many) + inner]
+                offsets = np.append(0, end)[np.append(0, np.cumsum(sizes))]
+                yield pa.RecordBatch.from_arrays([rows.column(0).slice(i, 1).flatten(), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))], names=[key, "ids"])
 
     named = docs.select(F.col(key), F.col(text).alias("_text"))
-    looked = named.mapInArrow(look_up, f"`{key}` {docs.schema[key].dataType.simpleString()}, parts array<struct<ids:array<int>,word:string>>")
-    none = F.array().cast("array<int>")
-    whole = lambda p, r: F.when(p["word"].isNull(), p["ids"]).otherwise(F.concat(p["ids"], ids_of_word(F.coalesce(p["word"], F.lit("")), r)))
-    rest = rank.use(lambda r: F.flatten(F.transform("parts", lambda p: whole(p, r))))
-    return looked.select(key, F.when(F.size("parts") == 1, F.get(F.col("parts"), F.lit(0))["ids"]).otherwise(F.coalesce(rest, none)).alias("ids"))
+    rows = named.mapInArrow(cut_texts, f"keys array<{kind}>, sizes binary, codes binary, words array<string>")
+    folded = rank.use(lambda r: F.transform("words", lambda w: fold_merges(as_bytes(w), r)))
+    return rows.select("keys", "sizes", "codes", folded.alias("ids")).mapInArrow(put_in_place, f"`{key}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, spark: SparkSession | None = None, ids: str = "ids", out: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:

@@ -68,6 +68,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text, back from its token ids."""
+    return bpe.decode(bpe.encode(table(spark, d, "documents"))).select("doc_id", "text")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items that leaked into them."""
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -85,7 +90,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage."""
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p7_ids, p7_decoded, p8_found, p9_found, p9_shared)}
 
 
 def _last(name: str) -> str:
@@ -108,6 +113,7 @@ def oracle_sql() -> dict[str, str]:
         "c AS (SELECT a.record_type, a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.record_type = b.record_type AND a.id <> b.id), "
         "t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY record_type, x ORDER BY c DESC, y) <= 10) "
         "SELECT DISTINCT record_type, least(x, y) AS id_a, greatest(x, y) AS id_b FROM t WHERE c >= 0.9",
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p8_found": "WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE length(text) > 0), e AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items), "
         "dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 15], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 14)) AS i FROM d)), eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 15], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 14)) AS i FROM e)) "
         "SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",

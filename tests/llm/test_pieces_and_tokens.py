@@ -54,8 +54,8 @@ def expected(text):
 
 def test_encoding(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
-    for frequent in (bpe.FREQUENT, 3):  # with few words in the table, the rest is folded where it stands
-        got = {r.doc_id: list(r.ids) for r in bpe.encode(df, frequent=frequent).collect()}
+    for batch in (bpe.BATCH, 3):  # however many documents share the words they fold
+        got = {r.doc_id: list(r.ids) for r in bpe.encode(df, batch=batch).collect()}
         assert got == {i: expected(t) for i, t in enumerate(TEXTS)}
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(df)).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
@@ -76,6 +76,23 @@ def test_heap_merges_equal_the_plain_rule():
         assert bpe.heap_merges(word, ranks) == [ranks[p] for p in parts]
 
 
+def test_any_script_is_cut_alike():
+    rng, every = random.Random(5), bpe.regex.compile(bpe.PATTERN).findall
+    signs = "".join(map(chr, (*range(0x20, 0x3000, 7), 0x85, 0xA0, 0x1C, 0x2028, 0x3000, 0x20BB7, 0x1F600, 0xFE0F)))
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) if rng.random() < 0.7 else rng.choice(" \n'sé٣") for _ in range(rng.randint(0, 25)))
+        assert bpe.cutter()(text) == every(text)
+    whole = "".join(chr(i) + rng.choice(" a1\n-") for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    assert all(bpe.cutter()(part) == every(part) for part in (whole[i : i + 4000] for i in range(0, len(whole), 4000)))
+
+
+def test_the_literal_map_knows_only_its_keys(spark):
+    held = {f"k{i}": i for i in range(500)}
+    words = spark.createDataFrame([(k,) for k in [*held, "k500", "", "x"]], "k string")
+    got = {r.k: r.v for r in words.select("k", bpe.LiteralMap(held).use(lambda r: r(F.col("k"))).alias("v")).collect()}
+    assert got == held | {"k500": None, "": None, "x": None}
+
+
 def test_the_ascii_pattern_cuts_alike():
     rng, every = random.Random(3), bpe.regex.compile(bpe.PATTERN).findall
     for _ in range(3000):
