@@ -16,7 +16,7 @@ from corvane.functions import vectors as V
 from corvane.operators import chunking, graph, incremental, metrics, parsers, retrieval, tools
 from corvane.plans import sql as S
 from corvane.sources import files as sources
-from corvane.sources.tables import latest, table
+from corvane.sources.tables import delivered, latest, table
 from corvane.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,8 @@ class _Tables:
         return table(self.spark, self.folder, name)
 
     def __getattr__(self, name: str) -> DataFrame:
-        return latest(self.raw("mcp_usage_events" if name == "usage" else name), ["id"], ["updated_at", "inserted_at"])
+        rows = delivered(self.spark, self.folder, "mcp_usage_events" if name == "usage" else name)
+        return latest(rows, ["id"], ["updated_at", "inserted_at", "_delivery"], tie=[]).drop("_delivery")  # equal times: what is stored last
 
 
 def _query(sql: str | None = None) -> Callable[[Callable[[_Tables], DataFrame]], Query]:

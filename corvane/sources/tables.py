@@ -11,16 +11,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def latest(df: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+def delivered(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """:func:`table` with ``_delivery``, the place at which each row is stored (file, row)."""
+    return table(spark, folder, name).select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias("_delivery"))
+
+
+def latest(df: DataFrame, keys: list[str] | None = None, order: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
     """One row per key: that with the greatest ``order`` columns, nulls first; equal rows are one.
 
     Deliveries of one record share its key. Ties in ``order`` between unequal
-    rows are broken by a hash of the whole row, so the result is the same on
-    every run. Rows with a null key form one group.
+    rows are broken by a hash of the ``tie`` columns (all by default), so the
+    result is the same on every run; all of them are read for that, so select
+    what is needed first. Rows with a null key form one group.
     """
     keys = keys or ["id"]
     order = order or [c for c in ("updated_at", "inserted_at") if c in df.columns]
     by: list[Column] = [F.col(c).desc_nulls_last() for c in order]
-    flat = [c for c, kind in df.dtypes if not kind.startswith("map")]
-    window = Window.partitionBy(*keys).orderBy(*by, F.xxhash64(*flat))
+    flat = tie if tie is not None else [c for c, kind in df.dtypes if "map<" not in kind]
+    if flat or not by:
+        by.append(F.xxhash64(*(flat or keys)))
+    window = Window.partitionBy(*keys).orderBy(*by)
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
+
+
+def current(df: DataFrame, *columns: str, key: str = "id") -> DataFrame:
+    """``key`` and ``columns`` of the latest delivery of each key; no other columns but those that order deliveries are read."""
+    order = [c for c in ("updated_at", "inserted_at") if c in df.columns]
+    wanted = df.select(F.col(key), *[F.col(c) for c in columns], *[F.col(c).alias(f"_by_{c}") for c in order])
+    return latest(wanted, [key], [f"_by_{c}" for c in order] or [key]).drop(*[f"_by_{c}" for c in order])
