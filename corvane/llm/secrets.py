@@ -15,21 +15,25 @@ import math
 import random
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LINES, EPOCHS, SEED = 3600, 4, 7
+from corvane.sources.tables import current
+
+LINES, EPOCHS, SEED = 5000, 4, 7
 MASK = "********"
 #: Fixed value: the token that a line needs to be labelled, as no credential is shorter.
 _LONG = re.compile(r"[^\s\"'`=:;,(){}<>\[\]@|]{4}")
 _PEM = re.compile(r"-----BEGIN[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN)[\s\S])*?(?:-----END[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?=[\"'](?:\s|[;,)\]}]|$))|\Z)")
-_LEX = re.compile(r"-----BEGIN[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[^\"'\n]*|[^\s\"'`=:;,(){}<>\[\]@|]+|[\"'`=:;,(){}<>\[\]@|]")
+_LEX = re.compile(r"-----BEGIN[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[^\"'\n]*|[^\s\"'`=:;,(){}<>\[\]@|]{8,}==(?=[\"'`\s;,)}\]]|$)|[^\s\"'`=:;,(){}<>\[\]@|]+|[\"'`=:;,(){}<>\[\]@|]")
 #: Words before a token that tell on their own.
-_BEFORE = frozenset("basic bearer pwd on password sk key the".split())
+_BEFORE = "basic bearer pwd on password sk key the".split()
+_BEFORE_AT = {w: i + 1 for i, w in enumerate(_BEFORE)}
 #: The parts of a name, on its letters' cases (:func:`_parts`).
 _PARTS = re.compile(r"A+(?=Aa)|A?a+|A+|9+")
 #: The kind of each ASCII character, and runs of characters that are alike but for marks among small letters.
@@ -37,6 +41,8 @@ _CASES = {i: "a" if chr(i).islower() else "A" if chr(i).isupper() else "9" if ch
 _RUNS = re.compile(r"[as]+|A+|9+")
 #: Fixed value: tokens and lines whose features or labels are kept at once.
 _KEPT = 50_000
+#: Tokens of a line from which on its best path is looked for by itself, and characters of texts whose lines are labelled together.
+_WIDE, _BATCH = 2000, 4_000_000
 #: Kinds of name parts.
 _KINDS = {
     "pw": "password passwd passwort pwd pass passphrase phrase passcode pin contraseña contrasena clave kennwort losungswort senha palavrapasse motdepasse parola wachtwoord lösenord heslo hasło пароль 密码 密碼 パスワード 비밀번호",
@@ -48,45 +54,57 @@ _KINDS = {
 }
 _KIND = {w: k for k, words in _KINDS.items() for w in words.split()}
 _KNOWN = re.compile(r"AKIA[A-Z0-9]{12,}|ASIA[A-Z0-9]{12,}|gh[pousr]_\w{20,}|github_pat_\w{20,}|glpat-[\w-]{15,}|sk_(?:live|test)_\w{10,}|rk_live_\w{10,}|sk-[\w-]{16,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{6,}|AIza[\w-]{20,}|npm_\w{20,}|pypi-\w{16,}|SG\.[\w-]{10,}\.[\w-]{10,}|hf_\w{16,}|dop_v1_\w{20,}|shpat_\w{16,}")
-_PLACEHOLDER = re.compile(r"your|example|changeme|change_me|placeholder|redacted|dummy|insert|replace|todo|xxxx|\*\*\*|\.\.\.|fixme|enter|hidden|masked|none|null|undefined|sample_|my_?(?:pass|secret|token|key)", re.I)
+_KNOWN_STARTS = frozenset("AK AS gh gi gl sk rk xo ey AI np py SG hf do sh".split())
+_PLACEHOLDER = re.compile(r"your|example|changeme|change_me|placeholder|redacted|dummy|insert|replace|todo|xxxx|\*\*\*|\.\.\.|fixme|enter|hidden|masked|none|null|undefined|sample_|my_?(?:pass|secret|token|key)")
+_DOTTED, _NUMBERED = re.compile(r"[A-Za-z_]\w*(?:\.\w+)*"), re.compile(r"[A-Za-z_]+\d{0,2}")
 _HEX, _UUID = re.compile(r"[0-9a-f]+|[0-9A-F]+"), re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
+def _first(n: int, lower: bool, upper: bool, digit: int, special: int, changes: int) -> tuple[str, ...]:
+    """The features of a token's kinds of characters, size and changes between kinds."""
+    kind = ("a" if lower else "") + ("A" if upper else "") + ("9" if digit else "") + ("s" if special else "")
+    size = "1" if n < 4 else "4" if n < 8 else "8" if n < 12 else "12" if n < 18 else "18" if n < 28 else "28" if n < 48 else "48"
+    turns = min(5, int(changes / n * 10))
+    return "k" + kind, f"k{kind}l{size}", f"t{turns}", f"k{kind}t{turns}"
+
+
+@lru_cache(_KEPT)
+def _outline(cases: str) -> tuple[tuple[str, ...], int, int]:
+    """:func:`_first` of an ASCII token's kinds of characters, and its digits and signs."""
+    digit, special = cases.count("9"), cases.count("s")
+    return _first(len(cases), "a" in cases, "A" in cases, digit, special, len(_RUNS.findall(cases)) - 1), digit, special
+
+
 @lru_cache(_KEPT)
 def _shape(token: str) -> tuple[str, ...]:
     """What a token looks like, whatever stands around it."""
     if len(token) == 1 and not token.isalnum():
         return ("d" + token,)
-    if token.startswith("-----BEGIN"):
+    if token.startswith("-----BEGIN") and "PRIVATE KEY" in token:
         return ("pem",)
     n = len(token)
     if token.isascii():
-        cases = token.translate(_CASES)
-        lower, upper, digit, special = "a" in cases, "A" in cases, cases.count("9"), cases.count("s")
-        changes = len(_RUNS.findall(cases)) - 1
+        first, digit, special = _outline(token.translate(_CASES))
     else:
         lower, upper, digit = any(c.islower() for c in token), any(c.isupper() for c in token), sum(c.isdigit() for c in token)
         special = sum(not c.isalnum() for c in token)
-        changes = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(token, token[1:], strict=False))
-    kind = ("a" if lower else "") + ("A" if upper else "") + ("9" if digit else "") + ("s" if special else "")
-    size = "1" if n < 4 else "4" if n < 8 else "8" if n < 12 else "12" if n < 18 else "18" if n < 28 else "28" if n < 48 else "48"
-    turns = changes / n
-    out = ["k" + kind, f"k{kind}l{size}", f"t{min(5, int(turns * 10))}", f"k{kind}t{min(5, int(turns * 10))}"]
-    if _HEX.fullmatch(token) and n >= 16:
+        first = _first(n, lower, upper, digit, special, sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(token, token[1:], strict=False)))
+    out = [*first]
+    if n >= 16 and _HEX.fullmatch(token):
         out += ["hex", f"hex{n}"]
-    if _UUID.fullmatch(token):
+    if n == 36 and _UUID.fullmatch(token):
         out.append("uuid")
-    if _KNOWN.match(token):
+    if token[:2] in _KNOWN_STARTS and _KNOWN.match(token):
         out.append("known")
-    if _PLACEHOLDER.search(token):
+    if _PLACEHOLDER.search(token.lower()):
         out.append("placeholder")
-    if set(token) <= set("*xX.•#-_"):
+    if token[0] in "*xX.•#-_" and set(token) <= set("*xX.•#-_"):
         out.append("masked")
     if token[0] in "$%" or "${" in token or "%(" in token:
         out.append("variable")
-    if re.match(r"sha\d+-", token):
+    if token.startswith("sha") and re.match(r"sha\d+-", token):
         out.append("integrity")
-    if re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)*", token) and (not digit or re.fullmatch(r"[A-Za-z_]+\d{0,2}", token)):
+    if (token.isidentifier() if "." not in token else _DOTTED.fullmatch(token)) and (token[0].isascii() and (not digit or _NUMBERED.fullmatch(token))):
         out.append("identifier")
     if "/" in token and special >= 2 and not digit:
         out.append("path")
@@ -95,7 +113,9 @@ def _shape(token: str) -> tuple[str, ...]:
 
 def _parts(name: str) -> list[str]:
     """The parts of a name in lower case, cut at changes of case and between letters and digits of any script."""
-    cases = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else " " for c in name)
+    if name.isalpha() and name.islower():
+        return [name]
+    cases = name.translate(_CASES) if name.isascii() else "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else "s" for c in name)
     return [name[m.start() : m.end()].lower() for m in _PARTS.finditer(cases)]
 
 
@@ -166,66 +186,131 @@ class Field:
         self.step = [[0.0] * 3 for _ in range(3)]
         self.step[0][2] = -1e6  # a credential cannot go on before it begins
         self.sums: dict[object, list[float]] = {}
+        self.numbers: dict[tuple[str, ...], int] = {}
+
+    def _number(self, features: tuple[str, ...]) -> int:
+        return self.numbers.setdefault(features, len(self.numbers))
+
+    def _rows(self, kinds: np.ndarray, features: Callable[[int], Iterable[str]]) -> np.ndarray:
+        """The sums of weights for an array of kinds; ``features`` gives those of the kind at a position. A kind's sums are kept."""
+        every, first, at = np.unique(kinds, return_index=True, return_inverse=True)
+        if len(self.sums) > 8 * _KEPT:
+            self.sums.clear()
+        rows = []
+        for kind, i in zip(every.tolist(), first.tolist(), strict=True):
+            if (row := self.sums.get(kind)) is None:
+                w = [self.weight[f] for f in features(i) if f in self.weight]
+                row = self.sums[kind] = [sum(x[y] for x in w) for y in range(3)]
+            rows.append(row)
+        return np.array(rows, np.float64).reshape(-1, 3)[at]
+
+    def labels(self, lines: list[list[str]]) -> list[list[int] | None]:
+        """What :meth:`viterbi` gives for :func:`features` of each line, of a trained field, None for a line without a credential.
+
+        All lines at once: what is known at a token of the words and marks
+        before it is found with running maxima, features are summed by groups,
+        and the best path is looked for where a token could gain by a label.
+        """
+        flat = [t for line in lines for t in line]
+        if not flat:
+            return [None] * len(lines)
+        number: dict[str, int] = {}
+        ids = np.array([number.setdefault(t, len(number)) for t in flat])
+        words = list(number)
+        shapes = [_shape(t) for t in words]
+        sign = np.array([ord(t) if len(t) == 1 and not t.isalnum() else ord("w") for t in words])
+        plain = np.array([s[0][0] != "d" or s == ("pem",) for s in shapes])
+        kind = np.array([self._number(s) for s in shapes])
+        special = np.array([_BEFORE_AT.get(t.lower(), 0) if len(t) < 9 else 0 for t in words])
+        mark = lambda test: np.array([test(t) for t in words])[ids]
+        size = np.array([len(line) for line in lines])
+        line, n = np.repeat(np.arange(len(lines)), size), len(ids)
+        start = np.repeat(np.cumsum(size) - size, size)
+        place = np.arange(n)
+        first, last = place == start, np.append(line[1:] != line[:-1], True)
+        char, word = sign[ids], plain[ids]
+        before, after = np.where(first, ord("^"), np.roll(char, 1)), np.where(last, ord("$"), np.roll(char, -1))
+
+        def latest(there: np.ndarray) -> np.ndarray:
+            """The last place before each one in its line where something is, or -1."""
+            seen = np.maximum.accumulate(np.where(there, place, -1))
+            seen = np.append(-1, seen[:-1])
+            return np.where(seen >= start, seen, -1)
+
+        previous = latest(word)
+        link = (char == ord(":")) & ~last & np.roll(mark(lambda t: t.startswith("//")), -1)
+        names = ((char == ord("=")) | (char == ord(":"))) & (previous >= 0) & ~link
+        set_at = latest(names | link | (char == ord(";")) | (char == ord(",")))
+        keyed = (set_at >= 0) & names[set_at]
+        key = np.where(keyed, ids[previous[set_at]], -1)
+        beside = np.where(word & (before == ord("w")) & (previous >= 0), ids[previous], -1)
+        named = np.full(len(words) + 1, self._number(("nokey",)))
+        for i in np.union1d(key[word], beside).tolist():
+            if i >= 0:
+                named[i] = self._number(_name_kinds(words[i]))
+        opens, closes = np.zeros(n, np.int64), np.zeros(n, bool)
+        held, own = "", -1
+        for i in np.flatnonzero((char == 34) | (char == 39) | (char == 96)).tolist():
+            if line[i] != own:
+                held, own = "", line[i]
+            if held == flat[i]:
+                held, opens[i], closes[i] = "", -1, True
+            elif not held:
+                held, opens[i] = flat[i], 1
+        inside = np.cumsum(opens) - opens
+        quoted = inside - inside[start] > 0
+        url = latest(link | closes)
+        url = (url >= 0) & link[url]
+        data = latest(word & (after == ord(":")) & ~last & mark(lambda t: t[:4].lower() == "data")) >= 0
+        dash = latest(mark(lambda t: t == "-u"))
+        dash_u = (dash >= 0) & (place - dash <= 4)
+
+        scores = np.zeros((n, 3))
+        w = np.flatnonzero(word)
+        of = lambda i: _name_kinds(words[key[w[i]]]) if keyed[w[i]] else ("nokey",)
+        shape = lambda i: shapes[ids[w[i]]]
+        text = lambda array, i: chr(int(array[w[i]]))
+        scores[w] = self._rows((kind[ids[w]] << 24) + (named[key[w]] << 3) + 1, lambda i: ["b", *shape(i), *of(i), *(f"{k}|{s}" for k in of(i) for s in shape(i)[:2] + shape(i)[4:])])
+        scores[w] += self._rows((((before[w] << 21) + after[w]) * 2 + quoted[w] << 3) + 2, lambda i: ["<" + text(before, i), ">" + text(after, i), f"<{text(before, i)}>{text(after, i)}", "q" if quoted[w[i]] else "nq", *(["call"] if text(after, i) == "(" else [])])
+        mine = np.where(previous[w] >= 0, special[ids[previous[w]]], 0)
+        near = np.where(beside[w] >= 0, named[beside[w]] + 1, 0)
+        scores[w] += self._rows((((near << 8) + mine) << 3) + 3, lambda i: [*("pw:" + k for k in (_name_kinds(words[beside[w[i]]]) if near[i] else ())), *(["pw:" + _BEFORE[mine[i] - 1]] if mine[i] else [])])
+        at = lambda c: np.where(word, before == ord(c), False)
+        alone = (size == 1)[line]
+        flags = np.stack([url, url & at(":") & (after == ord("@")), data, dash_u & at(":"), alone], 1)[w]
+        scores[w] += self._rows((flags @ (1 << np.arange(5)) << 3) + 4, lambda i: [f for f, on in zip(("url", "urlcred", "data", "dashu", "alone"), flags[i], strict=True) if on])
+        m = np.flatnonzero(~word)
+        scores[m] = self._rows((kind[ids[m]] << 3) + 5, lambda i: ["b", *shapes[ids[m[i]]]])
 
-    def _sum(self, kind: object, features: Callable[[], list[str]]) -> list[float]:
-        """The sum of the weights of some features, kept under ``kind``."""
-        if (out := self.sums.get(kind)) is None:
-            if len(self.sums) >= _KEPT:
-                self.sums.clear()
-            w = [self.weight[f] for f in features() if f in self.weight]
-            out = self.sums[kind] = [sum(x[y] for x in w) for y in range(3)]
-        return out
-
-    def labels(self, tokens: list[str]) -> list[int]:
-        """What :meth:`viterbi` gives for :func:`features`, of a trained field: the same sums, taken by groups of features, and no search where no token can gain by a label."""
-        scores, gain, n = [], False, len(tokens)
         step = self.step
         most = max(0.0, *(step[x][y] for x in range(3) for y in (1, 2))) - min(0.0, step[0][0]) + max(0.0, step[1][0] - step[0][0], step[2][0] - step[0][0])
-        key, url, data, dash_u, quoted, previous_word = "", False, False, 0, "", ""
-        shapes = [_shape(t) for t in tokens]
-        for i, token in enumerate(tokens):
-            shape = shapes[i]
-            before, after = tokens[i - 1] if i else "^", tokens[i + 1] if i + 1 < n else "$"
-            word = shape[0][0] != "d" or shape == ("pem",)
-            if word:
-                kinds = _name_kinds(key) if key else ("nokey",)
-                b = before if len(before) == 1 and not before.isalnum() else "w"
-                a = after if len(after) == 1 and not after.isalnum() else "w"
-                parts = [self._sum((shape, kinds), lambda: ["b", *shape, *kinds, *(f"{k}|{s}" for k in kinds for s in shape[:2] + shape[4:])]), self._sum((b, a, not quoted), lambda: ["<" + b, ">" + a, f"<{b}>{a}", "q" if quoted else "nq", *(["call"] if a == "(" else [])])]
-                named = f"pw:{p}" if (p := previous_word.lower()) in _BEFORE else ""
-                if b == "w" or named:
-                    beside = _name_kinds(previous_word) if b == "w" else ()
-                    parts.append(self._sum((beside, named), lambda: [*("pw:" + k for k in beside), *([named] if named else [])]))
-                if url or data or dash_u or n == 1:
-                    flags = (*(["url"] if url else []), *(["urlcred"] if url and b == ":" and a == "@" else []), *(["data"] if data else []), *(["dashu"] if dash_u and b == ":" else []), *(["alone"] if n == 1 else []))
-                    parts.append(self._sum(flags, lambda: list(flags)))
-                x = y = z = 0.0
-                for w in parts:
-                    x, y, z = x + w[0], y + w[1], z + w[2]
-                row = [x, y, z]
-            else:
-                row = self._sum(shape, lambda: ["b", *shape])
-            scores.append(row)
-            gain = gain or max(row[1], row[2]) - row[0] + most >= 0
-            if token in "=:" and previous_word:
-                key = previous_word
-            elif token in ";,{":
-                key = key if token == "{" else ""
-            if token == ":" and after.startswith("//"):
-                url, key = True, ""
-            elif word and token.lower().startswith("data") and after == ":":
-                data = True
-            if token in "\"'`":
-                quoted = "" if quoted == token else quoted or token
-                if not quoted:
-                    url = False
-            dash_u = 4 if token == "-u" else max(0, dash_u - 1)
-            if word:
-                previous_word = token
-        if not gain:
-            return [0] * n
-        scores[0] = [*scores[0][:2], -1e6]
-        return self._best(scores)
+        gain = np.bincount(line, scores[:, 1:].max(axis=1) - scores[:, 0] + most >= 0, len(lines)) > 0
+        scores[first, 2] = -1e6
+        out: list[list[int] | None] = [None] * len(lines)
+        begin = np.cumsum(size) - size
+        for i in np.flatnonzero(gain & (size > _WIDE)).tolist():
+            found = self._best(scores[begin[i] : begin[i] + size[i]].tolist())
+            out[i] = found if any(found) else None
+        some = np.flatnonzero(gain & (size <= _WIDE))
+        some = some[np.argsort(-size[some], kind="stable")]
+        if len(some):
+            long, moves = size[some], np.array(step)
+            best, came = scores[begin[some]], []
+            for t in range(1, int(long[0])):
+                on = int(np.searchsorted(-long, -t, "left"))
+                v = best[:on, :, None] + moves
+                came.append(v.argmax(axis=1))
+                best[:on] = v.max(axis=1) + scores[begin[some[:on]] + t]
+            y = best.argmax(axis=1)
+            path = np.zeros((len(some), int(long[0])), np.int8)
+            for t in range(int(long[0]) - 1, -1, -1):
+                on = int(np.searchsorted(-long, -t, "left"))
+                path[:on, t] = y[:on]
+                if t:
+                    y[:on] = came[t - 1][np.arange(on), y[:on]]
+            for i in np.flatnonzero(path.any(axis=1)).tolist():
+                out[some[i]] = path[i, : long[i]].tolist()
+        return out
 
     def scores(self, rows: list[list[str]]) -> list[list[float]]:
         weight, out = self.weight, []
@@ -290,6 +375,8 @@ class Field:
 _NOUNS = "order cache region ledger worker meter badge portal batch signal folder vault quota branch report payment user admin mail queue node proxy".split()
 #: Other names of passwords in the made-up lines.
 _PASSWORDS = "passcode pin passwort kennwort contraseña contrasena clave senha motdepasse wachtwoord parola heslo пароль 密码".split()
+#: Words that name something harmless where they come last, and may stand before the name of a secret.
+_OTHERS = "trace label page link version count color image request status title public host".split()
 _VERBS = "load send merge apply fetch rotate close render".split()
 
 
@@ -313,7 +400,7 @@ def made_up(rng: random.Random) -> list[tuple[str, bool]]:
         kind = rng.random()
         if kind < 0.5:
             return pick(_NOUNS).title() + pick("!-_.#%&*+$") + pick(_NOUNS)[: rng.randint(3, 7)] + chars(digits, 2, 4) + pick(["", "", "!", "?"])
-        return chars(alnum + "!#%*$-_", 8, 20) if kind < 0.9 else pick(_NOUNS) + chars(digits, 2, 4)
+        return chars(alnum + "!#%*$-_", 8, 20) if kind < 0.85 else chars(lower + lower.upper(), 10, 18) if kind < 0.9 else pick(_NOUNS) + chars(digits, 2, 4)
 
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
     base64 = lambda a, b: chars(alnum + "+/", a, b) + pick(["", "=", "=="])
@@ -323,20 +410,20 @@ def made_up(rng: random.Random) -> list[tuple[str, bool]]:
     uuid = lambda: "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
     host = lambda: f"{pick(_NOUNS)}-{rng.randint(1, 40)}.{pick(_NOUNS)}{pick(_NOUNS)}.{pick(['internal', 'test', 'example', 'invalid', 'com'])}"
     pw_name = lambda: name(pick(["password", "passwd", "pwd", "pass"] if rng.random() < 0.7 else _PASSWORDS)) if rng.random() < 0.8 else pick(["password", "passwd", "pwd"])
-    sec_name = lambda: name(*pick([["token"], ["secret"], ["api", "key"], ["client", "secret"], ["access", "key"], ["access", "token"], ["auth", "token"], ["secret", "access", "key"], ["signing", "key"], ["private", "key"], ["session"], ["session", "id"], ["auth"], ["cookie"], ["credential"], ["billing", "key"], ["hook"], ["access", "key", "id"], ["encryption", "key"]]))
+    sec_name = lambda: name(pick(_OTHERS), pick(["token", "secret", "password"])) if rng.random() < 0.25 else name(*pick([["token"], ["secret"], ["api", "key"], ["client", "secret"], ["access", "key"], ["access", "token"], ["auth", "token"], ["secret", "access", "key"], ["signing", "key"], ["private", "key"], ["session"], ["session", "id"], ["auth"], ["cookie"], ["credential"], ["billing", "key"], ["hook"], ["access", "key", "id"], ["encryption", "key"]]))
     plain_name = lambda: name(pick(_NOUNS))
-    not_name = lambda: name(*pick([["checksum"], ["digest"], ["commit"], ["hash"], ["trace", "id"], ["integrity"], ["icon"], ["revision"], ["id"], ["uuid"], ["sha256"], ["etag"], ["version"], ["fingerprint"], ["public", "key"], ["request", "id"]]))
+    not_name = lambda: name(*pick([["checksum"], ["digest"], ["commit"], ["hash"], ["trace", "id"], ["integrity"], ["icon"], ["revision"], ["id"], ["uuid"], ["sha256"], ["etag"], ["version"], ["fingerprint"], ["public", "key"], ["request", "id"], ["client", "id"], ["account", "id"]]))
 
     def assign(key: str, value: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
         q, style = pick("\"\"\"'"), rng.random()
-        if style < 0.55:
+        if style < 0.52:
             return [(pick(["", "", "const ", "let ", "var ", "val ", "  ", "self."]) + key + pick([" = ", " = ", "=", " := "]) + q, False), *value, (q + pick(["", ";", ""]), False)]
-        if style < 0.7:
+        if style < 0.66:
             return [(f"{pick(['', '  '])}{q}{key}{q}: {q}", False), *value, (q + pick(["", ","]), False)]
-        if style < 0.85:
+        if style < 0.8:
             return [(f"{pick(['', '  '])}{key}: {q}", False), *value, (q, False)]
         if style < 0.93:
-            return [(pick(["# ", "// ", "", "RUN "]) + "export " + key + "=", False), *value]
+            return [(pick(["# ", "// ", "", "RUN "]) + pick(["export ", "export ", ""]) + key + "=", False), *value]
         return [(f"{pick(['set', 'configure', 'use'])}({q}{key}{q}, {q}", False), *value, (q + ")", False)]
 
     def word() -> str:
@@ -373,7 +460,11 @@ def made_up(rng: random.Random) -> list[tuple[str, bool]]:
     if kind < 0.47:
         return [(f"{pick(['# ', '// ', '* '])}{pick(['login', 'user', 'account'])} {pick(_NOUNS)} {pick(['pwd', 'password', 'pass'])} ", False), (password(), True), (f" on {host()}", False)]
     if kind < 0.49:
-        return assign(name(pick(["signing", "private"]), "key"), [(f"-----BEGIN {pick(['', 'RSA ', 'EC '])}PRIVATE KEY-----\\n{base64(40, 80)}\\n", True)])
+        block = (f"-----BEGIN {pick(['', 'RSA ', 'EC '])}PRIVATE KEY-----\\n{base64(40, 80)}\\n", True)
+        if rng.random() < 0.4:
+            return assign(name(pick(["signing", "private"]), "key"), [block])
+        alone = [(pick(["", "  ", "# ", "// ", "`", "x = `"]), False), block]
+        return alone if rng.random() < 0.6 else [*alone, (pick([" ", "` ", "\", ", "; "]), False), *(assign(pw_name(), [(password(), True)]) if rng.random() < 0.6 else [block, (pick(["", " ", "\"}"]), False)])]
     if kind < 0.51:
         return [(f"{pick(['  ', ''])}{pick(['--password ', '--token ', 'X-Api-Key: ', '-p ', 'sshpass -p '])}", False), (password() if rng.random() < 0.5 else random_key(), True)]
     # No credentials from here on.
@@ -381,7 +472,7 @@ def made_up(rng: random.Random) -> list[tuple[str, bool]]:
         return [(t, False) for t, _ in assign(pick([pw_name, sec_name])(), [(pick(["YOUR_API_KEY", "********", "<redacted>", "changeme", "xxxxxxxx", "${" + name("token").upper() + "}", "<your-token>", "your_password_here", "...", "", "{{ secret }}", "$PASSWORD", "placeholder", "REPLACE_ME", "example-token", "None"]), False)])]
     if kind < 0.63:
         n = pick([pw_name, sec_name])()
-        return [(pick([f"{n} = {pick(['read_env', 'getenv', 'os.environ.get', 'vault.read', 'System.getenv', 'config.fetch'])}(\"{name('token').upper()}\");", f"{n} = {pick(_VERBS)}_{pick(_NOUNS)}({pick(_NOUNS)}, {rng.randint(1, 9999)})", f"const {n} = {pick(_VERBS)}{pick(_NOUNS).title()}({pick(_NOUNS)}, \"{pick(_NOUNS)} {pick(_NOUNS)}\");", f"{n} = {name(pick(_NOUNS))}", f"{n}: {pick(_NOUNS).title()}{pick(_NOUNS).title()}", f"if ({n}.{pick(_NOUNS)} == {rng.randint(1, 999)}) {{", f"# the {pick(['token', 'password', 'key'])} is read from the {pick(_NOUNS)}, never from {name(pick(_NOUNS))}", f"{pick(_VERBS)}_{n}({pick(_NOUNS)}, \"{pick(_NOUNS)} {pick(_VERBS)}\");", f"{n}: {rng.randint(1, 9999)}", f"def {pick(_VERBS)}_{pick(_NOUNS)}(self, {n}, {name(pick(_NOUNS))}):"]), False)]
+        return [(pick([f"{n} = {pick(['read_env', 'getenv', 'os.environ.get', 'vault.read', 'System.getenv', 'config.fetch'])}(\"{name('token').upper()}\");", f"{n} = {pick(_VERBS)}_{pick(_NOUNS)}({pick(_NOUNS)}, {rng.randint(1, 9999)})", f"const {n} = {pick(_VERBS)}{pick(_NOUNS).title()}({pick(_NOUNS)}, \"{pick(_NOUNS)} {pick(_NOUNS)}\");", f"{n} = {name(pick(_NOUNS))}", f"{n}: {pick(_NOUNS).title()}{pick(_NOUNS).title()}", f"  {n} {pick(_NOUNS).title()}{pick(_NOUNS).title()}", f"  {n} {pick([str(rng.randint(1, 9999)), pick(_NOUNS), name(pick(_NOUNS))])}", f"if ({n}.{pick(_NOUNS)} == {rng.randint(1, 999)}) {{", f"# the {pick(['token', 'password', 'key'])} is read from the {pick(_NOUNS)}, never from {name(pick(_NOUNS))}", f"{pick(_VERBS)}_{n}({pick(_NOUNS)}, \"{pick(_NOUNS)} {pick(_VERBS)}\");", f"{n}: {rng.randint(1, 9999)}", f"def {pick(_VERBS)}_{pick(_NOUNS)}(self, {n}, {name(pick(_NOUNS))}):"]), False)]
     if kind < 0.67:
         n = name(pick(["password", "token", "api_key", "secret"]), pick(["label", "hint", "title", "name", "length", "field"]))
         return [(t, False) for t, _ in assign(n, [(pick(["Enter the password again", "Your token", "Forgot password?", "API key", "Secret word", pick(_NOUNS)]), False)])]
@@ -391,15 +482,21 @@ def made_up(rng: random.Random) -> list[tuple[str, bool]]:
     if kind < 0.84:
         return [(t, False) for t, _ in assign(name(pick(["url", "link", "href", "page"])), [(f"https://{host()}/{pick(_NOUNS)}?{pick(['page', 'id', 'key'])}={rng.randint(1, 99)}", False)])]
     if kind < 0.88:
-        return [(pick([base64(60, 64), base64(100, 160), "-----BEGIN PUBLIC KEY-----", "-----END PUBLIC KEY-----", f"\"{hexes(40)}\",", base64(20, 40)]), False)]
+        return [(pick([base64(60, 64), base64(100, 160), "-----BEGIN PUBLIC KEY-----", "-----END PUBLIC KEY-----", pick(["", "# ", "// ", "-- ", "/* ", " * "]) + pick("=-*#~_+") * rng.randint(4, 70), f"\"{hexes(40)}\",", base64(20, 40)]), False)]
     if kind < 0.92:
         return [(t, False) for t, _ in assign(plain_name(), [(pick([" ".join(rng.choices(_NOUNS, k=rng.randint(1, 3))), chars(alnum, 20, 40) if rng.random() < 0.2 else pick(_NOUNS), f"{pick(_NOUNS)}-{pick(_NOUNS)}-{rng.randint(1, 99)}"]), False)])]
     return [(pick([f"{name(pick(_NOUNS))} = {pick(_VERBS)}_{pick(_NOUNS)}({name(pick(_NOUNS))}, {rng.randint(1, 9999)});", f"logger.info(\"{pick(_VERBS)} {pick(_NOUNS)} {pick(_NOUNS)}\", {name(pick(['session', 'key', 'token']))})", f"for (const {pick(_NOUNS)} of {pick(_VERBS)}{pick(_NOUNS).title()}({name(pick(_NOUNS))})) {{", f"// Version {rng.randint(1, 40)}.{rng.randint(1, 40)}.{rng.randint(1, 40)} lets the {pick(_NOUNS)} {pick(_VERBS)} {rng.randint(1, 4000)} {pick(_NOUNS)}s", f"\"{name(pick(_NOUNS))}\": \"{pick(_NOUNS)} {pick(_NOUNS)}\",", f"{name(pick(_NOUNS))}: {rng.randint(1, 9999)}", f"key = {name(pick(_NOUNS))}[{pick(_NOUNS)}]", f"{pick(_VERBS)}{pick(_NOUNS).title()}{pick(_NOUNS).title()}{pick(_NOUNS).title()}({pick(_NOUNS)}{rng.randint(1, 9)});"]), False)]
 
 
-def lexed(line: str) -> list[tuple[int, int]]:
-    """(begin, end) of a line's tokens."""
-    return [m.span() for m in _LEX.finditer(line)]
+def lexed(line: str, blocks: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """(begin, end) of a line's tokens, the given key blocks being one each."""
+    if not blocks:
+        return [m.span() for m in _LEX.finditer(line)]
+    out, at = [], 0
+    for begin, end in blocks:
+        out += [(m.start() + at, m.end() + at) for m in _LEX.finditer(line[at:begin])] + [(begin, end)]
+        at = end
+    return out + [(m.start() + at, m.end() + at) for m in _LEX.finditer(line[at:])]
 
 
 def _labelled(pieces: list[tuple[str, bool]]) -> tuple[list[str], list[int]]:
@@ -441,35 +538,71 @@ def accuracy(field: Field, lines: int = 600, seed: int = 99) -> float:
     return right / lines
 
 
-def spans_of(text: str, field: Field, known: dict[str, list[tuple[int, int]]] | None = None) -> list[tuple[int, int]]:
-    """(begin, end) of every literal credential of a text, in order."""
-    out, at = [], 0
+def _parts_of(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(begin, end, key blocks) of a text's lines; lines that a private-key block joins are one."""
     blocks = [m.span() for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else []
-    for line in text.split("\n"):
-        end = at + len(line)
-        block = next(((a, b) for a, b in blocks if a < end and b > at), None)
-        if block is not None and not at <= block[0] < end:
-            pass  # inside a key that began before
-        elif block is not None:
-            out.append(block)
-        elif _LONG.search(line):
-            found = known.get(line) if known is not None else None
-            if found is None:
-                tokens = lexed(line)
-                labels = field.labels([line[a:b] for a, b in tokens]) if tokens else []
-                found = []
-                for (a, b), y in zip(tokens, labels, strict=True):
-                    if y == 2 and found:
-                        found[-1] = (found[-1][0], b)
-                    elif y:
-                        found.append((a, b))
-                if known is not None and len(known) < _KEPT and len(line) < 1000:
-                    known[line] = found
-            out += [(at + a, at + b) for a, b in found]
+    at, size = 0, len(text)
+    while at <= size:
+        end, own = text.find("\n", at), []
+        end = size if end < 0 else end
+        while blocks and blocks[0][0] < end:
+            own.append(blocks.pop(0))
+            if own[-1][1] > end:
+                end = text.find("\n", own[-1][1])
+                end = size if end < 0 else end
+        yield at, end, own
         at = end + 1
+
+
+def spans_of_all(texts: list[str], field: Field, known: dict[str, list[tuple[int, int]]] | None = None) -> list[list[tuple[int, int]]]:
+    """(begin, end) of every literal credential of each text, in order; a private-key block is one token of its line. ``known`` keeps what plain lines hold."""
+    known = {} if known is None or len(known) > 8 * _KEPT else known
+    parts, blocked, rows, tokens = [], {}, [], []
+    for number, text in enumerate(texts):
+        if "PRIVATE KEY" not in text:
+            parts.append(None)
+            for line in text.split("\n"):
+                if line not in known and _LONG.search(line):
+                    known[line] = []
+                    rows.append(line)
+                    tokens.append(lexed(line))
+            continue
+        parts.append(list(_parts_of(text)))
+        for at, end, blocks in parts[-1]:
+            blocked[number, at] = len(rows)
+            rows.append(text[at:end])
+            tokens.append(lexed(rows[-1], [(a - at, b - at) for a, b in blocks]))
+    found: list[list[tuple[int, int]]] = []
+    for line, spans, labels in zip(rows, tokens, field.labels([[line[a:b] for a, b in spans] for line, spans in zip(rows, tokens, strict=True)]), strict=True):
+        own: list[tuple[int, int]] = []
+        for (a, b), y in zip(spans, labels or (), strict=False):
+            if y == 2 and own and not line.startswith("-----BEGIN", a):
+                own[-1] = (own[-1][0], b)
+            elif y:
+                own.append((a, b))
+        found.append(own)
+        if line in known:
+            known[line] = own
+    out = []
+    for number, text in enumerate(texts):
+        spans, at = [], 0
+        if parts[number] is None:
+            for line in text.split("\n"):
+                if own := known.get(line):
+                    spans += [(at + a, at + b) for a, b in own]
+                at += len(line) + 1
+        else:
+            for at, _, _ in parts[number]:
+                spans += [(at + a, at + b) for a, b in found[blocked[number, at]]]
+        out.append(spans)
     return out
 
 
+def spans_of(text: str, field: Field) -> list[tuple[int, int]]:
+    """:func:`spans_of_all` of one text."""
+    return spans_of_all([text], field)[0]
+
+
 def masked(text: str, spans: list[tuple[int, int]]) -> str:
     """The text with each span replaced by :data:`MASK` and nothing else changed."""
     out, at = [], 0
@@ -482,7 +615,7 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
 def credentials(records: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """(``key``, lines, redacted) of every record with a literal credential: the lines on which one begins (from 1, split at \\n) and the text with all of them masked.
 
-    Null and empty texts and texts without a credential give no row; repeated rows give repeated rows.
+    Of several deliveries of a key the latest counts. Null and empty texts and texts without a credential give no row.
     """
     kind = records.schema[key].dataType.simpleString()
     field = records.sparkSession.sparkContext.broadcast(trained())
@@ -490,12 +623,20 @@ def credentials(records: DataFrame, key: str = "id", text: str = "content") -> D
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[tuple[int, int]]] = {}
         for batch in batches:
-            ids, lines, texts = [], [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                if value and (spans := spans_of(value, field.value, known)):
-                    ids.append(i)
-                    lines.append(sorted({value.count("\n", 0, a) + 1 for a, _ in spans}))
-                    texts.append(masked(value, spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(lines, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=[key, "lines", "redacted"])
-
-    return records.select(F.col(key), F.col(text).alias("_text")).mapInArrow(find, f"`{key}` {kind}, lines array<bigint>, redacted string")
+            values, begin, held = batch.column(1).to_pylist(), 0, 0
+            for i, value in enumerate(values):
+                held += len(value or "")
+                if held < _BATCH and i + 1 < len(values):
+                    continue
+                ids, lines, texts = [], [], []
+                if len(known) > 8 * _KEPT:
+                    known.clear()
+                for k, spans in enumerate(spans_of_all([v or "" for v in values[begin : i + 1]], field.value, known), begin):
+                    if spans:
+                        ids.append(k)
+                        lines.append(sorted({values[k].count("\n", 0, a) + 1 for a, _ in spans}))
+                        texts.append(masked(values[k], spans))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(lines, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=[key, "lines", "redacted"])
+                begin, held = i + 1, 0
+
+    return current(records, text, key=key).select(F.col(key), F.col(text).alias("_text")).mapInArrow(find, f"`{key}` {kind}, lines array<bigint>, redacted string")

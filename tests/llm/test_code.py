@@ -125,6 +125,9 @@ def test_credentials(spark):
         ('relay_senha = "Badge-queue4410!"', "Badge-queue4410!"),
         ('door_passcode = "Meter+vault7712"', "Meter+vault7712"),
         ('ledger_pass = "Folder_node9034"', "Folder_node9034"),
+        ("DB_PASS=Zx9!kQ2pL", "Zx9!kQ2pL"),
+        ('password = "hunterXyzQwerty"', "hunterXyzQwerty"),
+        ("# export TRACE_TOKEN=2874a5eeea7ab5ac79bce3ff4f5fd33c4eb2688f", "2874a5eeea7ab5ac79bce3ff4f5fd33c4eb2688f"),
     ],
 )
 def test_credentials_under_any_name(line, secret):
@@ -132,7 +135,17 @@ def test_credentials_under_any_name(line, secret):
     assert secrets.spans_of(line, secrets.trained()) == [(begin, begin + len(secret))]
 
 
-@pytest.mark.parametrize("line", ["Version 14.2 ändert die Größe des buffer und löscht alte buffer-Dateien.", "¿Por qué read_buffer devuelve un valor vacío después de 3 intentos?", 'title = "Order summary"'])
+def test_all_credentials_of_a_line_with_key_blocks():
+    key = "-----BEGIN {0}PRIVATE KEY-----{1}MIIabc{1}-----END {0}PRIVATE KEY-----"
+    one, two, three = key.format("", "\\n"), key.format("RSA ", "\\n"), key.format("EC ", "\n")
+    field, hide = secrets.trained(), lambda text: secrets.masked(text, secrets.spans_of(text, secrets.trained()))
+    assert hide(f'{{"private_key": "{one}", "other": "{two}", "password": "Agent-pip2015"}}') == '{"private_key": "********", "other": "********", "password": "********"}'
+    text = f'a = 1\n  {three} password = "Agent-pip2015"\npwd: "Task-part5326!"\n{three}'
+    assert hide(text) == 'a = 1\n  ******** password = "********"\npwd: "********"\n********'
+    assert [text.count("\n", 0, a) for a, _ in secrets.spans_of(text, field)] == [1, 3, 4, 5]
+
+
+@pytest.mark.parametrize("line", ['client_id = "deedcc8bf5d0453da0bab94b6533452f"', "// " + "=" * 40, "-" * 60, "Version 14.2 ändert die Größe des buffer und löscht alte buffer-Dateien.", "¿Por qué read_buffer devuelve un valor vacío después de 3 intentos?", 'title = "Order summary"'])
 def test_prose_and_titles_are_no_credentials(line):
     assert secrets.spans_of(line, secrets.trained()) == []
 
@@ -145,7 +158,10 @@ def test_labels_are_those_of_all_features():
     import random
 
     field, rng = secrets.trained(), random.Random(11)
-    for _ in range(1500):
-        line = "".join(p for p, _ in secrets.made_up(rng))
-        tokens = [line[a:b] for a, b in secrets.lexed(line)]
-        assert not tokens or field.labels(tokens) == field.viterbi(secrets.features(tokens)), line
+    lines = ["".join(p for p, _ in secrets.made_up(rng)) for _ in range(1500)]
+    lines += ["".join(rng.choice(["a", "Zx9kQ", " ", "=", ":", "//", "'", '"', "`", ",", ";", "{", "-u ", "data", "@", "pwd ", "—"]) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    lines.append(" ".join(lines[:300]).replace("\n", " "))  # a wide one
+    tokens = [[line[a:b] for a, b in secrets.lexed(line)] for line in lines]
+    for line, row, got in zip(lines, tokens, field.labels(tokens), strict=True):
+        want = field.viterbi(secrets.features(row)) if row else []
+        assert (got or [0] * len(row)) == want, line
