@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.tables import latest
+
 LIMIT, OVERLAP = 2048, 256
 
 #: Ends of a blank line (3), of a line (2), of a sentence (1).
@@ -82,16 +84,14 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     ``chunk_index`` is the chunk's own, moved on by the pieces that earlier
     oversized chunks of the file gained; ``token_count`` is a quarter of the
     characters, rounded down. Null, empty and fitting contents give no row;
-    of several deliveries of an id the latest counts. Only oversized rows leave
-    the JVM or are shuffled.
+    of several deliveries of an id the latest counts. Only oversized contents are
+    shuffled or leave the JVM.
     """
-    from corvane.sources.tables import latest
-
     if not 0 <= overlap <= limit // 2:
         raise ValueError("the overlap must not exceed half the limit")
     order = [c for c in ("updated_at", "inserted_at") if c in chunks.columns]
-    wide = chunks.filter(F.length("content") > limit).select("id", "file_id", "content", "line_start", "chunk_index", *order)
-    wide = latest(wide, ["id"], order).drop(*order)
+    short = F.when(F.length("content") > limit, F.col("content"))  # a later delivery that fits still counts, but need not be moved
+    wide = latest(chunks.select("id", "file_id", short.alias("content"), "line_start", "chunk_index", *order), ["id"], order).filter("content is not null").drop(*order)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

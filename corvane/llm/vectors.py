@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.rolling import mix
 from corvane.plans.lineage import cut
-from corvane.sources.tables import latest
+from corvane.sources.tables import current
 
 CELL, TILE, SEED = 64, 2048, 20240229
 
@@ -117,9 +117,7 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9, size: int
     id. ``recall`` is the least probability with which a pair at ``least`` is
     found; closer pairs are found more often.
     """
-    kept = vectors.filter(usable(F.col(vector), size))
-    order = [c for c in ("updated_at", "inserted_at") if c in vectors.columns]
-    kept = latest(kept.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"), *order), ["id"], order)
+    kept = current(vectors, vector, key=key).filter(usable(F.col(vector), size)).select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
