@@ -34,8 +34,14 @@ def latest(df: DataFrame, keys: list[str] | None = None, order: list[str] | None
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
-def current(df: DataFrame, *columns: str, key: str = "id") -> DataFrame:
-    """``key`` and ``columns`` of the latest delivery of each key; no other columns but those that order deliveries are read."""
+def current(df: DataFrame, *columns: str, key: str | list[str] = "id") -> DataFrame:
+    """The key and ``columns`` of the latest delivery of each key; no other columns but those that order deliveries are read."""
+    keys = [key] if isinstance(key, str) else key
     order = [c for c in ("updated_at", "inserted_at") if c in df.columns]
-    wanted = df.select(F.col(key), *[F.col(c) for c in columns], *[F.col(c).alias(f"_by_{c}") for c in order])
-    return latest(wanted, [key], [f"_by_{c}" for c in order] or [key]).drop(*[f"_by_{c}" for c in order])
+    wanted = df.select(*keys, *columns, *[F.col(c).alias(f"_by_{c}") for c in order])
+    return latest(wanted, keys, [f"_by_{c}" for c in order] or keys).drop(*[f"_by_{c}" for c in order])
+
+
+def hash128(text: Column) -> Column:
+    """128 bits that stand for a text: two 64-bit hashes with different seeds."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
