@@ -42,15 +42,21 @@ def _both(spark: SparkSession, d: str, operator: Callable[[DataFrame], DataFrame
     return operator(table(spark, d, "symbols")).withColumn("record_type", F.lit("symbol")).unionByName(operator(table(spark, d, "chunks")).withColumn("record_type", F.lit("chunk")))
 
 
+def _records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Symbols and chunks as one table."""
+    of = lambda name, kind: table(spark, d, name).select(F.lit(kind).alias("record_type"), "id", *columns, "updated_at", "inserted_at")
+    return of("symbols", "symbol").unionByName(of("chunks", "chunk"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines on which a literal credential begins."""
-    found = _both(spark, d, secrets.credentials)
-    return found.select("record_type", F.col("id").alias("record_id"), F.explode("lines").alias("line_no")).distinct()
+    found = secrets.credentials(_records(spark, d, "content"), ["record_type", "id"])
+    return found.select("record_type", F.col("id").alias("record_id"), F.explode("lines").alias("line_no"))
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The records with credentials, masked."""
-    return _both(spark, d, secrets.credentials).select("record_type", "id", "redacted").distinct()
+    return secrets.credentials(_records(spark, d, "content"), ["record_type", "id"]).select("record_type", "id", "redacted")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

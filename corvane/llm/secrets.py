@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.sources.tables import current
+from corvane.sources.tables import current, hash128
 
 LINES, EPOCHS, SEED = 5000, 4, 7
 MASK = "********"
@@ -564,24 +564,25 @@ def spans_of_all(texts: list[str], field: Field, known: dict[str, list[tuple[int
             for line in text.split("\n"):
                 if line not in known and _LONG.search(line):
                     known[line] = []
-                    rows.append(line)
-                    tokens.append(lexed(line))
+                    rows.append((line, ()))
+                    tokens.append(_LEX.findall(line))
             continue
         parts.append(list(_parts_of(text)))
         for at, end, blocks in parts[-1]:
             blocked[number, at] = len(rows)
-            rows.append(text[at:end])
-            tokens.append(lexed(rows[-1], [(a - at, b - at) for a, b in blocks]))
+            line, blocks = text[at:end], [(a - at, b - at) for a, b in blocks]
+            rows.append((line, blocks))
+            tokens.append([line[a:b] for a, b in lexed(line, blocks)])
     found: list[list[tuple[int, int]]] = []
-    for line, spans, labels in zip(rows, tokens, field.labels([[line[a:b] for a, b in spans] for line, spans in zip(rows, tokens, strict=True)]), strict=True):
+    for (line, blocks), labels in zip(rows, field.labels(tokens), strict=True):
         own: list[tuple[int, int]] = []
-        for (a, b), y in zip(spans, labels or (), strict=False):
+        for (a, b), y in zip(lexed(line, blocks), labels, strict=True) if labels else ():
             if y == 2 and own and not line.startswith("-----BEGIN", a):
                 own[-1] = (own[-1][0], b)
             elif y:
                 own.append((a, b))
         found.append(own)
-        if line in known:
+        if own and line in known:
             known[line] = own
     out = []
     for number, text in enumerate(texts):
@@ -612,12 +613,16 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def credentials(records: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
+def credentials(records: DataFrame, key: str | list[str] = "id", text: str = "content") -> DataFrame:
     """(``key``, lines, redacted) of every record with a literal credential: the lines on which one begins (from 1, split at \\n) and the text with all of them masked.
 
     Of several deliveries of a key the latest counts. Null and empty texts and texts without a credential give no row.
+
+    Each distinct text is labelled once: texts are grouped by 128 bits of hash,
+    with partial grouping before the shuffle, and only keys and hashes are
+    compared for the latest deliveries.
     """
-    kind = records.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else key
     field = records.sparkSession.sparkContext.broadcast(trained())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -636,7 +641,10 @@ def credentials(records: DataFrame, key: str = "id", text: str = "content") -> D
                         ids.append(k)
                         lines.append(sorted({values[k].count("\n", 0, a) + 1 for a, _ in spans}))
                         texts.append(masked(values[k], spans))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(lines, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=[key, "lines", "redacted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(lines, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["_text", "lines", "redacted"])
                 begin, held = i + 1, 0
 
-    return current(records, text, key=key).select(F.col(key), F.col(text).alias("_text")).mapInArrow(find, f"`{key}` {kind}, lines array<bigint>, redacted string")
+    hashed = records.withColumn("_text", F.when(F.length(text) > 0, hash128(F.col(text))))
+    distinct = hashed.filter("_text is not null").groupBy("_text").agg(F.first(text).alias("value"))
+    found = distinct.mapInArrow(find, "_text struct<a:bigint,b:bigint>, lines array<bigint>, redacted string")
+    return current(hashed, "_text", key=keys).join(found, "_text").select(*keys, "lines", "redacted")
