@@ -1,17 +1,19 @@
 """Files that nobody wrote by hand.
 
-Five kinds of evidence: what tools call their output and where third-party
-copies lie (path), sizes that no hand-written file has, a notice at the top of a
-part of the file, tables of numbers, and recurrence. Recurrence is measured by winnowing:
-the file's normalised token stream is hashed in k-grams, the least hash of each
-window is a fingerprint, and a file is a vendored copy if most of its
-fingerprints stand in files of many other projects. Numbers are one token there,
-so all tables of numbers are alike; k-grams of numbers alone are no fingerprints.
+Five kinds of evidence: recurrence, what tools call their output and where
+third-party copies lie (path), sizes that no hand-written file has, a notice in
+the comment that opens a part of the file, and tables of numbers. Recurrence is
+measured by winnowing: the normalised token stream is hashed in k-grams, the
+least hash of each window is a fingerprint, and a file is a vendored copy if
+most of its fingerprints stand in files of many unrelated repositories, which
+are those of different owners. Numbers are one token there, so all tables of
+numbers are alike; k-grams of numbers alone are no fingerprints.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.rolling import Substrings, code_points, mix
-from corvane.sources.tables import latest
+from corvane.plans.lineage import cut
+from corvane.sources.tables import current, latest
 
 GRAM, WINDOW = 8, 8
 _BATCH = 1_500_000
@@ -50,6 +53,20 @@ _NOTICE = (
     r"|.*\bsee (?:the )?(?:accompanying )?(?:notice|license|copying)(?:\.\w+)? (?:file )?for (?:\w+ )?(?:terms|details|conditions)|.*\b(?:vendored|bundled|copied) from\b|! ?\w[\w.-]* v?\d+\.\d+)"
 )
 
+#: What a text with a notice holds in lower case, by which texts without one are told apart; every word of a row.
+_NOTICE_WORDS = [("generated",), ("do not", "edit"), ("do not", "modify"), ("do not", "change"), ("don't", "edit"), ("don't", "modify"), ("don't", "change"), ("never", "edit"), ("never", "modify"), ("never", "change"), ("will be lost",), ("will be overwritten",), ("will be discarded",), ("see", "notice"), ("see", "license"), ("see", "copying"), ("vendored from",), ("bundled from",), ("copied from",)]
+#: The blank lines and comments that open a text.
+_OPENING = r"^(?:[ \t]*(?:(?:#|//|/\*|\*|--|;|%|<!--|[\"]{3}|'{3}|\{-|\(\*|REM\b|!)[^\n]*)?(?:\n|\z))+"
+
+
+def has_notice(content: Column) -> Column:
+    """Whether a line of the comment that opens a text, or its first line, is a notice of a generator or of third-party code."""
+    low = F.lower(content)
+    every = lambda words: reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words])
+    maybe = reduce(lambda a, b: a | b, map(every, _NOTICE_WORDS)) | F.regexp_replace(F.substring(content, 1, 40), r"\s", "").rlike(r"^\W*!")
+    top = F.concat_ws("\n", F.substring_index(F.ltrim(content), "\n", 1), F.regexp_extract(F.replace(content, F.lit("\r"), F.lit("")), _OPENING, 0))
+    return F.coalesce(F.when(maybe, F.regexp_replace(top, "\r", "").rlike("(?m)" + _NOTICE)).otherwise(False), F.lit(False))
+
 
 def machine_path(path: Column) -> Column:
     """Whether a path alone tells a tool's output or a third-party copy; words inside names are none."""
@@ -100,36 +117,57 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _winnowed(texts)[:2]
 
 
-def copied_files(chunks: DataFrame, share: float = SHARE, projects: int = PROJECTS) -> DataFrame:
-    """(file, copied, numbers) of a 64-bit hash of files' ids: whether most of their fingerprints stand in ``projects`` projects or more, and whether most of their words are numbers; files that are neither give no row."""
+def owners(projects: DataFrame) -> DataFrame:
+    """(project_id, owner): the remote without its last part, as all copies and forks within one owner's repositories are related; a project without a remote is its own owner."""
+    remote = F.lower(F.regexp_replace(F.regexp_replace("git_remote", r"^[a-z+]+://(?:[^/@]*@)?|^[^/@:]*@", ""), r"(?:\.git)?/*$", ""))
+    whose = F.regexp_extract(remote, r"^(.+)[/:][^/:]+$", 1)
+    return current(projects, "git_remote").select(F.col("id").alias("project_id"), F.when(whose != "", whose).otherwise(F.col("id")).alias("owner"))
+
+
+def _latest(chunks: DataFrame, *columns: str) -> DataFrame:
+    """The columns of the latest deliveries; chunks without ids are all different."""
+    return current(chunks, *columns).drop("id") if "id" in chunks.columns else chunks.select(*columns)
+
+
+def copied_files(chunks: DataFrame, share: float = SHARE, projects: int = PROJECTS, of: DataFrame | None = None) -> DataFrame:
+    """(file_id, copied, numbers): whether most of a file's fingerprints stand in the files of ``projects`` owners or more, and whether most of its words are numbers; files that are neither give no row.
+
+    ``of`` tells each project's owner (project_id, owner); without it every
+    project is an owner. Fingerprints are made once and written; (fingerprint,
+    owner) pairs are made distinct within each task before they are shuffled,
+    and only fingerprints that are common meet the files' own again.
+    """
 
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, begin, held = batch.column(2).to_pylist(), 0, 0
+            texts, begin, held = batch.column("content").to_pylist(), 0, 0
             for i, t in enumerate(texts):
-                held += len(t)
+                held += len(t or "")
                 if held > _BATCH or i + 1 == len(texts):
-                    record, h, words, numbers = _winnowed(texts[begin : i + 1])
-                    own = np.flatnonzero(words)  # a text's counts stand beside its file's hash
-                    at, counted = pa.array(np.concatenate([record, own]) + begin), np.arange(len(record) + len(own)) < len(record)
-                    prints = np.concatenate([h.view(np.int64), batch.column(0).to_numpy()[begin + own]])
-                    count = lambda x: pa.array(np.concatenate([np.zeros(len(record), np.int32), x[own].astype(np.int32)]), mask=counted)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(prints), count(words), count(numbers)], names=["file", "project", "print", "words", "numbers"])
+                    record, h, words, numbers = _winnowed([x or "" for x in texts[begin : i + 1]])
+                    count = len(words)
+                    edge = np.searchsorted(record, np.arange(count + 1))
+                    prints = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(h.view(np.int64)))
+                    kept = [batch.column(c).slice(begin, count) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*kept, prints, pa.array(words, pa.int64()), pa.array(numbers, pa.int64())], names=[*columns, "prints", "words", "numbers"])
                     begin, held = i + 1, 0
 
-    texts = chunks.filter(F.length("content") > 0).select(F.xxhash64("file_id").alias("file"), F.xxhash64("project_id").alias("project"), "content")
-    prints = texts.mapInArrow(winnow, "file bigint, project bigint, print bigint, words int, numbers int").repartition("print")
-    spread = prints.filter("words is null").select("print", "project").distinct().groupBy("print").agg(F.count("*").alias("n")).filter(F.col("n") >= projects).select("print", F.lit(1).alias("common"))
-    shares = prints.join(spread, "print", "left").groupBy("file").agg(
-        F.avg(F.when(F.col("words").isNull(), F.coalesce("common", F.lit(0)))).alias("share"), F.sum("words").alias("words"), F.sum("numbers").alias("numbers"),
-    )
-    return shares.select(
-        "file", F.coalesce(F.col("share") >= share, F.lit(False)).alias("copied"),
+    columns = ["file_id", "project_id", *[c for c in ("id", "updated_at", "inserted_at") if c in chunks.columns]]
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in columns)
+    counted = chunks.select(*columns, "content").mapInArrow(winnow, f"{kinds}, prints array<bigint>, words bigint, numbers bigint")
+    made = cut(_latest(counted, "file_id", "project_id", "prints", "words", "numbers"))
+    owned = made if of is None else made.join(of, "project_id", "left")
+    owner = F.col("project_id") if of is None else F.coalesce("owner", "project_id")
+    spread = owned.select(owner.alias("owner"), F.explode("prints").alias("print")).distinct().groupBy("print").agg(F.count("*").alias("n")).filter(F.col("n") >= projects).select("print")
+    common = made.select("file_id", F.explode("prints").alias("print")).join(spread, "print").groupBy("file_id").agg(F.count("*").alias("common"))
+    totals = made.groupBy("file_id").agg(F.sum(F.size("prints")).alias("prints"), F.sum("words").alias("words"), F.sum("numbers").alias("numbers"))
+    return totals.join(common, "file_id", "left").select(
+        "file_id", F.coalesce((F.col("prints") > 0) & (F.col("common") >= share * F.col("prints")), F.lit(False)).alias("copied"),
         F.coalesce((F.col("words") >= GRAM) & (F.col("numbers") >= NUMBERS * F.col("words")), F.lit(False)).alias("numbers"),
     ).filter("copied or numbers")
 
 
-def machine_made(files: DataFrame, chunks: DataFrame) -> DataFrame:
+def machine_made(files: DataFrame, chunks: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(file_id, by_path, by_size, by_notice, by_copies, by_numbers) of every file that is not hand-written.
 
     A null size is judged by the file's chunks, if they hold code; null languages
@@ -139,17 +177,17 @@ def machine_made(files: DataFrame, chunks: DataFrame) -> DataFrame:
     order = [c for c in ("updated_at", "last_indexed", "inserted_at") if c in files.columns]
     own = latest(files.select("id", "path", "size_bytes", "line_count", *order), ["id"], order)
     spaces = F.length("content") - F.length(F.regexp_replace("content", "[ \\t]", ""))
-    seen = chunks.groupBy(F.xxhash64("file_id").alias("file")).agg(
-        F.max(F.regexp_replace(F.substring_index(F.ltrim("content"), "\n", 1), "\r", "").rlike(_NOTICE)).alias("notice"),
-        (F.sum(F.octet_length("content")) / F.sum(F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1)).alias("per_line"),
-        (F.sum(spaces) / F.sum(F.length("content"))).alias("loose"),
-        (F.sum(F.octet_length("content")) / F.sum(F.length("content"))).alias("width"),
-    )
-    joined = own.withColumn("file", F.xxhash64("id")).join(seen, "file", "left").join(copied_files(chunks), "file", "left")
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
+    figures = {"notice": has_notice(F.col("content")), "bytes": F.octet_length("content"), "chars": F.length("content"), "lines": lines, "spaces": spaces}
+    part = _latest(chunks.withColumns(figures), "file_id", *figures)
+    seen = part.groupBy("file_id").agg(
+        F.max("notice").alias("notice"), (F.sum("bytes") / F.sum("lines")).alias("per_line"), F.try_divide(F.sum("spaces"), F.sum("chars")).alias("loose"), F.try_divide(F.sum("bytes"), F.sum("chars")).alias("width"),
+    )
+    joined = own.withColumnRenamed("id", "file_id").join(seen, "file_id", "left").join(copied_files(chunks, of=of), "file_id", "left")
     dense = (F.col("per_line") >= BYTES_PER_LINE) & (F.col("loose") < 0.08) & (F.col("width") < 1.2)  # code without line breaks, not prose of other scripts
     by_size = (F.col("line_count") >= MOST_LINES) | F.when(F.col("size_bytes").isNotNull() & (F.col("line_count") > 0), F.col("size_bytes") / F.col("line_count") >= BYTES_PER_LINE).otherwise(dense)
     out = joined.select(
-        F.col("id").alias("file_id"), machine_path(F.col("path")).alias("by_path"), F.coalesce(by_size, F.lit(False)).alias("by_size"),
+        "file_id", machine_path(F.col("path")).alias("by_path"), F.coalesce(by_size, F.lit(False)).alias("by_size"),
         F.coalesce("notice", F.lit(False)).alias("by_notice"), F.coalesce("copied", F.lit(False)).alias("by_copies"), F.coalesce("numbers", F.lit(False)).alias("by_numbers"),
     )
     return out.filter("by_path or by_size or by_notice or by_copies or by_numbers")

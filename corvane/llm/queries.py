@@ -15,7 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Files that nobody wrote by hand."""
-    return machine.machine_made(table(spark, d, "files"), table(spark, d, "chunks")).select("file_id").distinct()
+    return machine.machine_made(table(spark, d, "files"), table(spark, d, "chunks"), machine.owners(table(spark, d, "projects"))).select("file_id")
+
+
+def p1_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Files most of whose fingerprints stand in the repositories of three owners or more."""
+    return machine.copied_files(table(spark, d, "chunks"), projects=3, of=machine.owners(table(spark, d, "projects"))).filter("copied").select("file_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +101,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage."""
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p7_ids, p7_decoded, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p7_ids, p7_decoded, p8_found, p9_found, p9_shared)}
 
 
 def _last(name: str) -> str:

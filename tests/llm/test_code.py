@@ -30,6 +30,41 @@ def test_machine_made(spark):
     assert machine.machine_made(f.limit(0), c).count() == 0 and machine.machine_made(f, c.limit(0)).count() == 3
 
 
+@pytest.mark.parametrize("text", ["#!/bin/sh\n# Code generated by x. DO NOT EDIT.\nls", "\n\t/*\n * Auto-generated file\n */\nint x;", "/*! lib v3.1 | MIT */x", "// Copyright\n// This file is vendored from elsewhere.\nx", "Code generated by tool; DO NOT EDIT."])
+def test_notices(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(machine.has_notice(F.col("t")).alias("n")).first().n
+
+
+@pytest.mark.parametrize("text", [None, "", "x = 1\n# Code generated by x. DO NOT EDIT.", "// Never waits for the queue, see fetch.\nx", "generated = 1", "# the edit does not change it\nx"])
+def test_no_notices(spark, text):
+    assert not spark.createDataFrame([(text,)], "t string").select(machine.has_notice(F.col("t")).alias("n")).first().n
+
+
+def test_copies_count_unrelated_owners_only(spark):
+    import random
+
+    rng = random.Random(6)
+    body = lambda: " ".join(f"tok{rng.randrange(10**6)}" for _ in range(120))
+    shared, forked, old = body(), body(), body()
+    chunks = [(f"s{i}", f"s{i}", f"own{i}", shared, 1) for i in range(4)] + [(f"f{i}", f"f{i}", f"fork{i}", forked, 1) for i in range(6)]
+    chunks += [("alone", "alone", "own0", body(), 1), ("mixed", "mixed", "own5", shared + " " + body() + " " + body(), 1)]
+    chunks += [(f"o{i}", f"o{i}", f"own{i}", old, 1) for i in range(3)] + [(f"o{i}", f"o{i}", f"own{i}", body(), 2) for i in range(3)]
+    c = spark.createDataFrame(chunks, "id string, file_id string, project_id string, content string, updated_at int")
+    projects = [(f"own{i}", f"https://git.test/team{i}/app.git", 1) for i in range(5)] + [("own5", None, 1)]
+    projects += [(f"fork{i}", f"git@git.test:one/app{i}.git", 1) for i in range(6)]
+    of = machine.owners(spark.createDataFrame(projects, "id string, git_remote string, updated_at int"))
+    got = {r.file_id for r in machine.copied_files(c, projects=3, of=of).filter("copied").collect()}
+    assert got == {"s0", "s1", "s2", "s3"}  # six forks of one owner are one, replaced contents are none
+    assert {r.file_id for r in machine.copied_files(c, projects=3).filter("copied").collect()} == got | {f"f{i}" for i in range(6)}
+    # Brute force over the same fingerprints.
+    latest = {k: (f, p, t) for k, f, p, t, _ in chunks}
+    owner = {r.project_id: r.owner for r in of.collect()}
+    prints = {f: (set(machine.fingerprints([t])[1].tolist()), owner[p]) for f, p, t in latest.values()}
+    spread = lambda h: len({o for own, o in prints.values() if h in own})
+    assert got == {f for f, (own, _) in prints.items() if own and sum(spread(h) >= 3 for h in own) >= 0.8 * len(own)}
+    assert machine.copied_files(c.limit(0), of=of).count() == 0
+
+
 def test_numbers_are_no_copies(spark):
     import random
 
