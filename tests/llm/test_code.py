@@ -105,12 +105,54 @@ def test_documented(spark):
         ("e", "class", "K", "class K", "Says a lot.", "class K", "java"),
         ("f", "function", "two", "def two():", None, "# Loads both parts.\ndef helper():\n    pass\n\ndef two():\n    pass", "python"),
         ("g", "function", None, None, None, None, None),
+        ("i", "function", "other", "def other():", None, "# Loads both parts.\ndef helper():\n    pass", "python"),
         ("h", "function", "gap", "fn gap() {", None, "// Not joined to it.\n\nlet y = 2;\nfn gap() {\n}", "rust"),
     ]
     df = spark.createDataFrame(rows, "id string, kind string, name string, signature string, docstring string, content string, language string").withColumn("documentation", F.lit(0))
     got = {r.symbol_id: (r.documentation, r.found_in) for r in docs.documented(df.unionByName(df.limit(2))).distinct().collect()}
     assert got == {"a": ("Runs the thing.", "content"), "b": ("Starts it all.", "content"), "d": ("Keeps what is open.", "docstring")}
     assert docs.documented(df.limit(0)).count() == 0
+    again = df.limit(1).withColumns({"content": F.lit("def go(x):\n    return 1"), "updated_at": F.lit(2)})
+    assert docs.documented(df.withColumn("updated_at", F.lit(1)).unionByName(again)).filter("symbol_id = 'a'").count() == 0
+
+
+def test_tags_and_names_move_links():
+    two = "/**\n * Adds the fee.\n * @param fee what is added\n */\nfunction first(count, size) {\n}\n\nfunction second(fee, total) {\n}"
+    got = {f: doc for f, _, doc, _ in docs.links(two, "first", "function first(count, size) {")}
+    assert got["first"] is None and got["second"].startswith("Adds the fee.")
+    gap = "/**\n * Sorts rows.\n * @param rows what is sorted\n */\n\nfunction tidy(rows) {\n}"
+    assert docs.links(gap, "tidy", "function tidy(rows) {")[0][2].startswith("Sorts rows.")
+    assert docs.links('def helper(a):\n    """Helps a lot."""\n    return a', "compute", "def compute(b):")[0][2] is None
+    assert docs.links("# Runs it all.\ndef go():\n    pass", "go", "def go():", "TODO")[0][2:] == ("Runs it all.", "content")
+    assert docs.links("# Runs it all.\ndef go():\n    pass", "go", "def go():", "Keeps it open.")[0][2:] == ("Keeps it open.", "docstring")
+    inside = "function own(x) {\n  /** Says something.\n   * @param x of it */\n  return 1\n}"
+    assert docs.links(inside, "own", "function own(x) {")[0][2] is None
+    many = "\n".join(f"# Loads part number {i} of them.\ndef f{i}(x):\n    pass\n" for i in range(1500))
+    assert docs.links(many, "f1499", "def f1499(x):")[0][2] == "Loads part number 1499 of them."
+    assert len(docs.links(many, "f3", "def f3(x):")) == 1500
+
+
+def test_links_by_brute_force():
+    import itertools
+    import random
+
+    rng = random.Random(12)
+    for _ in range(60):
+        lines = []
+        for i in range(rng.randint(1, 3)):
+            if rng.random() < 0.8:
+                tags = "".join(f" * @param {p} is kept\n" for p in rng.sample("abcd", rng.randint(0, 2)))
+                lines.append(f"/**\n * Holds the {rng.choice(['f0', 'f1', 'plain'])} rows, number {i}.\n{tags} */" + rng.choice(["", "\n", "\nlet x = 1;"]))
+            lines.append(f"function f{i}({', '.join(rng.sample('abcd', rng.randint(0, 3)))}) {{\n}}")
+        content = "\n".join(lines)
+        comments, functions = docs.comments_and_functions(content, "f0", None)
+        score = {k: v for k, v in docs.scored_links(content.split("\n"), comments, functions).items() if v > 0}
+        n, m = len(functions), len(comments)
+        best = max(sum(score.get((i, p[i]), 0.0) for i in range(n)) for p in itertools.permutations(range(n + m), n))
+        number = {f[1]: i for i, f in enumerate(functions)}
+        which = lambda doc: next(c for c, x in enumerate(comments) if doc.split("\n")[0] in x[2])  # noqa: B023, E731
+        total = sum(score[number[f], which(d)] for f, _, d, _ in docs.links(content, "f0", None) if d)
+        assert abs(total - best) < 1e-9, content
 
 
 def test_assignment_is_the_best():
@@ -148,6 +190,8 @@ def test_credentials(spark):
     assert got["pem"].lines == [2] and got["pem"].redacted == f"k = 1\n{secrets.MASK}\nend"
     assert 2 in got["two"].lines and 4 in got["two"].lines and got["two"].redacted.startswith('a = 1\npassword = "********"\r\n')
     assert secrets.credentials(df.limit(0)).count() == 0
+    again = df.filter("id = 'pem'").withColumns({"content": F.lit("nothing"), "updated_at": F.lit(2)})
+    assert secrets.credentials(df.withColumn("updated_at", F.lit(1)).unionByName(again)).filter("id = 'pem'").count() == 0
 
 
 @pytest.mark.parametrize(

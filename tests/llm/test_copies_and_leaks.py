@@ -125,6 +125,9 @@ def test_similar_pairs_by_brute_force(spark):
     copies = {p for p in got if p[0][0] == "c"}
     assert len(copies) == 10 * 9 // 2 + 10 + 19 * 10 and not any(p[0][0] == "n" or p[1][0] == "n" for p in got)
     assert vectors.similar_pairs(df.limit(0)).count() == 0
+    pair = df.filter("id in ('v0600', 'v0601')").withColumn("updated_at", F.lit(1))
+    zero = pair.filter("id = 'v0600'").withColumns({"embedding": F.expr("array_repeat(0.0D, 64)"), "updated_at": F.lit(2)})
+    assert vectors.similar_pairs(pair).count() == 1 and vectors.similar_pairs(pair.unionByName(zero)).count() == 0
 
 
 def test_hot_cells_are_tiled(spark, monkeypatch):

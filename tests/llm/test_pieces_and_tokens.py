@@ -41,6 +41,8 @@ def test_split_frame(spark):
     assert [r.chunk_id for r in out] == ["a", "a", "c", "c"] and [r.chunk_index for r in out] == [0, 1, 3, 4]
     assert out[0].line_start == 1 and out[1].line_start == 1 + ("l\n" * 1500)[: len(out[0].content) - 256].count("\n") and "n" in out[2].content
     assert split.split_oversized(df.limit(0)).count() == 0
+    later = df.filter("id = 'a'").withColumns({"content": F.lit("short"), "updated_at": F.lit(9)})
+    assert split.split_oversized(df.unionByName(later)).filter("chunk_id = 'a'").count() == 0
 
 
 TEXTS = ["", None, " ", "Hello world", "don't  stop\n\n  now\t", "naïve café 日本語 🎉👩‍👩‍👧 <|endoftext|>", "á ​ x　y\x00\x85z᠎", "x" * 500, "ab" * 200 + "é" * 90, "1234567890 12,5 ½²Ⅷ", "\r\n\r\n  \r", "Ünïcödé’s it's I'LL we'll"]
