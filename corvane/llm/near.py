@@ -10,8 +10,12 @@ Registers of two records agree with the probability of their weighted Jaccard
 similarity. Registers are banded; records that share a band are verified on
 their exact bags.
 
-Records with equal bags are one class, told apart by a 64-bit hash; each class
-is banded and verified once.
+Records with equal bags are one class, told apart by 128 bits of hash; each
+class is banded and verified once. A band of over ``HOT`` classes says little
+(they share what is common, such as a licence): its classes do not meet there,
+but where they share one of their rarest shingles. A class of n shingles keeps
+n - ceil(least n) + 1 of them, and two classes that are similar enough share one
+that both keep (prefix filtering), so nothing is lost.
 """
 
 from __future__ import annotations
@@ -20,15 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm import pairs
 from corvane.llm.rolling import Substrings, code_points, mix
 from corvane.plans.lineage import cut
+from corvane.sources.tables import current, hash128
 
 #: Registers of a signature; bands times registers in each. A pair of similarity 0.7 shares a band with probability 0.9998.
 REGISTERS, BANDS = 128, 32
+#: Classes of a band that meet there.
+HOT = 200
 _BATCH = 1_500_000
+_CLASS = "struct<a:bigint,b:bigint>"
 
 
 def bags(texts: list[str], shingle: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,65 +108,98 @@ def overlap(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> flo
     return both / (wa.sum() + wb.sum() - both)
 
 
-def near_records(records: DataFrame, key: str = "id", text: str = "content", shingle: int = 3, least: float = 0.7, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of parts of a batch of bounded size."""
+    texts, begin, held = batch.column(text).to_pylist(), 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held > _BATCH or i + 1 == len(texts):
+            yield begin, texts[begin : i + 1]
+            begin, held = i + 1, 0
+
+
+def near_records(records: DataFrame, key: str | list[str] = "id", text: str = "content", shingle: int = 3, least: float = 0.7, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Members and links of near-duplicate records.
 
     Members: (``key``, class), one row per record with at least one shingle;
     equal bags share their class. Links: (class_a, class_b, similarity) with class_a <
     class_b for different bags of similarity ``least`` or more. Tokens are the
     longest runs of ASCII letters, digits and underscores in lower case. Null
-    and short texts are in neither; a row delivered twice counts once.
+    and short texts are in neither; of several deliveries of a key the latest counts.
     """
-    kind = records.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else key
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
-            record, h, weight = bags(texts, shingle, weighted)
-            n = len(texts)
-            total = np.zeros(n, np.uint64)
-            np.add.at(total, record, mix(h + weight.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)))
-            held = np.bincount(record, minlength=n) > 0
-            key = band_keys(signatures(record, h, weight, n))[held]
-            table = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(key) + 1, BANDS), pa.int32()), pa.array(key.reshape(-1)))
-            return pa.RecordBatch.from_arrays([keys.filter(pa.array(held)), pa.array(mix(total)[held].view(np.int64)), table], names=["key", "class", "bands"])
-
         for batch in batches:
-            texts, begin, held = batch.column(1).to_pylist(), 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held > _BATCH or i + 1 == len(texts):
-                    yield rows(batch.column(0).slice(begin, i + 1 - begin), texts[begin : i + 1])
-                    begin, held = i + 1, 0
-
-    texts = records.filter(F.length(text) >= 2 * shingle - 1).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    signed = cut(texts.mapInArrow(sign, f"key {kind}, class bigint, bands array<bigint>"))
-    banded = signed.select("class", F.explode("bands").alias("band")).repartition("band").dropDuplicates(["band", "class"])
-    pairs = banded.toDF("class_a", "band").join(banded.toDF("class_b", "band"), "band").filter("class_a < class_b").select("class_a", "class_b").distinct()
-    first = signed.groupBy("class").agg(F.min("key").alias("key"))
-    named = pairs.join(first.toDF("class_a", "key_a"), "class_a").join(first.toDF("class_b", "key_b"), "class_b")
-    held = texts.groupBy("key").agg(F.min("text").alias("text"))
-    both = named.join(held.toDF("key_a", "text_a"), "key_a").join(held.toDF("key_b", "text_b"), "key_b")
+            for begin, texts in _slices(batch, 1):
+                record, h, weight = bags(texts, shingle, weighted)
+                n = len(texts)
+                held = np.bincount(record, minlength=n) > 0
+                total = np.zeros((2, n), np.uint64)
+                for side, salt in enumerate((0x632BE59BD9B4E019, 0x9E3779B97F4A7C15)):
+                    np.add.at(total[side], record, mix(mix(h + np.uint64(salt)) + weight.astype(np.uint64) * np.uint64(salt)))
+                band = band_keys(signatures(record, h, weight, n))[held]
+                table = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(band) + 1, BANDS), pa.int32()), pa.array(band.reshape(-1)))
+                of = pa.StructArray.from_arrays([pa.array(mix(x)[held].view(np.int64)) for x in total], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n).filter(pa.array(held)), of, table], names=["text", "class", "bands"])
+
+    hashed = records.withColumn("_text", F.when(F.length(text) >= 2 * shingle - 1, hash128(F.col(text))))
+    distinct = cut(hashed.filter("_text is not null").groupBy(F.col("_text").alias("text")).agg(F.first(text).alias("value")))
+    signed = cut(distinct.mapInArrow(sign, f"text {_CLASS}, class {_CLASS}, bands array<bigint>"))
+    classes = signed.groupBy("class").agg(F.min("text").alias("text"), F.first("bands").alias("bands"))
+    banded = classes.select("class", F.explode("bands").alias("band"))
+    sizes = cut(pairs.sized(banded, "band"))
+    met = pairs.sharing(banded.join(sizes.filter(F.col("n") <= HOT).select("band"), "band"), "band", "class")
+    crowd = banded.join(sizes.filter(F.col("n") > HOT).select("band"), "band").select("class").distinct().join(classes.select("class", "text"), "class").join(distinct, "text").select("class", "value")
+    met = met.unionByName(_by_rare_shingles(crowd, shingle, least, weighted)).distinct()
+    texts = classes.select("class", "text").join(distinct, "text").select("class", "value")
+    both = met.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            distinct: dict[str, int] = {}
-            at = [[distinct.setdefault(t, len(distinct)) for t in batch.column(c).to_pylist()] for c in ("text_a", "text_b")]
-            record, h, weight = bags(list(distinct), shingle, weighted) if n else (np.zeros(0, int),) * 3
-            edge = np.searchsorted(record, np.arange(len(distinct) + 1))
+            places: dict[str, int] = {}
+            at = [[places.setdefault(t, len(places)) for t in batch.column(c).to_pylist()] for c in ("text_a", "text_b")]
+            record, h, weight = bags(list(places), shingle, weighted) if n else (np.zeros(0, int),) * 3
+            edge = np.searchsorted(record, np.arange(len(places) + 1))
             value = np.array([overlap(h[edge[a] : edge[a + 1]], weight[edge[a] : edge[a + 1]], h[edge[b] : edge[b + 1]], weight[edge[b] : edge[b + 1]]) for a, b in zip(*at, strict=True)])
             took = pa.array(np.flatnonzero(value >= least) if n else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("class_a").take(took), batch.column("class_b").take(took), pa.array(value, pa.float64()).take(took)], names=["class_a", "class_b", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(took), batch.column("b").take(took), pa.array(value, pa.float64()).take(took)], names=["class_a", "class_b", "similarity"])
 
-    links = both.select("class_a", "class_b", "text_a", "text_b").mapInArrow(verify, "class_a bigint, class_b bigint, similarity double")
-    return signed.select(F.col("key").alias(key), "class").distinct(), links
+    links = both.select("a", "b", "text_a", "text_b").mapInArrow(verify, f"class_a {_CLASS}, class_b {_CLASS}, similarity double")
+    members = current(hashed, "_text", key=keys).join(signed.select(F.col("text").alias("_text"), "class"), "_text").select(*keys, "class")
+    return members, links
 
 
-def near_pairs(records: DataFrame, key: str = "id", text: str = "content", shingle: int = 3, least: float = 0.7) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: every pair of near-duplicate records, those with equal bags included."""
-    members, links = near_records(records, key, text, shingle, least)
-    members = members.select(F.col(key).alias("_k"), "class")
-    x, y = members.toDF("x", "class_a"), members.toDF("y", "class_b")
-    different = links.join(x, "class_a").join(y, "class_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    equal = members.toDF("id_a", "class").join(members.toDF("id_b", "class"), "class").filter("id_a < id_b").select("id_a", "id_b")
-    return different.unionByName(equal).filter("id_a < id_b").distinct()
+def _by_rare_shingles(classes: DataFrame, shingle: int, least: float, weighted: bool) -> DataFrame:
+    """(a, b): the pairs of classes (class, value) that share a shingle which is among the rarest of both, and differ in size no more than ``least`` allows. The n-th time that a shingle stands in a bag counts as a shingle of its own."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in _slices(batch, 1):
+                record, h, weight = bags(texts, shingle, weighted)
+                time = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+                h, record = mix(np.repeat(h, weight) + time.astype(np.uint64)), np.repeat(record, weight)
+                size = np.bincount(record, minlength=len(texts))[record]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(record + begin)), pa.array(h.view(np.int64)), pa.array(size)], names=["class", "shingle", "size"])
+
+    made = classes.mapInArrow(cut_up, f"class {_CLASS}, shingle bigint, size bigint")
+    often = pairs.sized(made, "shingle")
+    order = Window.partitionBy("class").orderBy("n", "shingle")
+    kept = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
+    ranked = made.join(often, "shingle", "left").withColumn("r", F.row_number().over(order)).filter((F.col("r") <= kept) & F.col("n").isNotNull())
+    sizes = ranked.select("class", "size").distinct()
+    met = pairs.sharing(ranked.select("shingle", "class"), "shingle", "class")
+    sized = met.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+    return sized.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9).select("a", "b")
+
+
+def near_pairs(records: DataFrame, key: str = "id", text: str = "content", shingle: int = 3, least: float = 0.7, within: str | None = None, weighted: bool = False) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: every pair of near-duplicate records, those with equal bags included; if ``within`` is given, a first column of that name, the same in both records. Keys are unique within it."""
+    members, links = near_records(records, [within, key] if within else key, text, shingle, least, weighted)
+    own = [within] if within else []
+    members = members.select(*own, F.col(key).alias("_k"), "class")
+    x, y = members.toDF(*own, "x", "class_a"), members.toDF(*own, "y", "class_b")
+    different = links.join(x, "class_a").join(y, ["class_b", *own]).select(*own, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    equal = members.toDF(*own, "id_a", "class").join(members.toDF(*own, "id_b", "class"), ["class", *own]).filter("id_a < id_b").select(*own, "id_a", "id_b")
+    return different.unionByName(equal).filter("id_a < id_b")

@@ -66,7 +66,12 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near-duplicate symbols, and of near-duplicate chunks."""
-    return _both(spark, d, near.near_pairs).select("record_type", "id_a", "id_b")
+    return near.near_pairs(_records(spark, d, "content"), within="record_type")
+
+
+def p5_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of symbols whose bags of five words, counted as often as they stand, have a weighted similarity of 0.8 or more."""
+    return near.near_pairs(table(spark, d, "symbols"), shingle=5, least=0.8, weighted=True)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +106,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage."""
-    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p7_ids, p7_decoded, p8_found, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p5_weighted, p6_found, p7_ids, p7_decoded, p8_found, p9_found, p9_shared)}
 
 
 def _last(name: str) -> str:
@@ -120,6 +125,11 @@ def oracle_sql() -> dict[str, str]:
         "n AS (SELECT record_type, id, count(*) AS n FROM g GROUP BY ALL), "
         "s AS (SELECT a.record_type, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.record_type = b.record_type AND a.g = b.g AND a.id < b.id GROUP BY ALL) "
         "SELECT s.record_type, id_a, id_b FROM s JOIN n a ON a.record_type = s.record_type AND a.id = id_a JOIN n b ON b.record_type = s.record_type AND b.id = id_b WHERE 10 * c >= 7 * (a.n + b.n - c)",
+        "p5_weighted": f"WITH w AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM {_last('symbols')}), "
+        "g AS (SELECT id, array_to_string(w[i:i + 4], ' ') AS g, count(*) AS n FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5) GROUP BY ALL), "
+        "t AS (SELECT id, sum(n) AS t FROM g GROUP BY id), "
+        "s AS (SELECT a.id AS id_a, b.id AS id_b, sum(least(a.n, b.n)) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL) "
+        "SELECT id_a, id_b FROM s JOIN t a ON a.id = id_a JOIN t b ON b.id = id_b WHERE 10 * c >= 8 * (a.t + b.t - c)",
         "p6_found": f"WITH v AS (SELECT record_type, id, CAST(embedding AS DOUBLE[]) AS v FROM ({_RECORDS}) WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0), "
         "c AS (SELECT a.record_type, a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.record_type = b.record_type AND a.id <> b.id), "
         "t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY record_type, x ORDER BY c DESC, y) <= 10) "

@@ -1,10 +1,11 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from corvane.llm import leaks, near, spans, vectors
+from corvane.llm import leaks, near, pairs, spans, vectors
 
 
 def brute_common(a, b, n):
@@ -95,6 +96,43 @@ def test_near_pairs_by_brute_force(spark):
     assert near.near_pairs(df.limit(0)).count() == 0
 
 
+def test_hot_bands_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near, "HOT", 2)
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    rng = random.Random(17)
+    base = [f"c{i}" for i in range(60)]
+    texts = [" ".join(base[:n] + [f"u{i}x{j}" for j in range(60 - n)]) for i, n in enumerate([20, 30, 40, 50, 54, 56, 57, 58] * 4)]
+    texts += [" ".join(rng.choice(["lic", "ence", *base[:6]]) for _ in range(40)) for _ in range(12)] + [" ".join(base) + " tail" * i for i in range(6)]
+    rows = [(f"r{i:02}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, content string")
+    for weighted in (False, True):
+        got = {(r.id_a, r.id_b) for r in near.near_pairs(df, weighted=weighted).collect()}
+        want = set()
+        for (a, x), (b, y) in itertools.combinations(rows, 2):
+            g, h = (Counter(zip(w, w[1:], w[2:], strict=False)) for w in (x.split(), y.split()))
+            if not weighted:
+                g, h = Counter(set(g)), Counter(set(h))
+            if (g & h).total() >= 0.7 * (g | h).total():
+                want.add((a, b))
+        assert got == want and len(want) > 20
+
+
+def test_twenty_thousand_records_in_one_band(spark, monkeypatch):
+    licence = " ".join(f"w{i}" for i in range(60))
+    rows = [(f"r{i:05}", licence + "".join(f" u{i}x{j}" for j in range(40))) for i in range(20_000)]
+    rows += [(f"s{i:05}", rows[i * 7][1] + " end") for i in range(50)]
+    got = {(r.id_a, r.id_b) for r in near.near_pairs(spark.createDataFrame(rows, "id string, content string").repartition(8)).collect()}
+    assert got == {(f"r{i * 7:05}", f"s{i:05}") for i in range(50)}
+
+
+def test_pairs_of_a_hot_key(spark):
+    rows = [(k, i) for i in range(60) for k in ("hot", f"own{i}", f"two{i // 2}")] + [("half", i) for i in range(0, 60, 2)]
+    keyed = spark.createDataFrame(rows, "key string, item int")
+    got = [(r.a, r.b) for r in pairs.sharing(keyed, "key", "item", 7).collect()]
+    assert sorted(got) == list(itertools.combinations(range(60), 2))
+    assert pairs.sharing(keyed.limit(0), "key", "item").count() == 0
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     n, m = 300, 4096
