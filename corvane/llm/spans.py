@@ -13,8 +13,10 @@ of them on one side. Each symbol is therefore emitted with that much context,
 once on the left and once on the right; records that share such a key are the
 candidates, and each candidate pair is verified on the texts.
 
-Equal texts are one class, told apart by a 64-bit hash; each class takes part
-once, so a text with many copies costs no more than one without.
+Equal texts are one class, told apart by 128 bits of hash; each class takes part
+once, so a text with many copies costs no more than one without. Keys of one
+class are left out, and a key that very many share (boilerplate) is spread over
+pairs of blocks, see :mod:`corvane.llm.pairs`.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm import pairs
 from corvane.llm.rolling import Substrings, code_points, mix
 from corvane.plans.lineage import cut
+from corvane.sources.tables import hash128
 
 #: Characters from which a symbol is complete; it stands for fewer than twice as many.
 GRAIN = 64
 _TOKEN, _ROUNDS, _BATCH = 32, 64, 1_500_000
+_CLASS = "struct<a:bigint,b:bigint>"
 
 
 def complete_symbols(codes: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,51 +123,61 @@ def common(a: str, b: str, least: int) -> list[tuple[int, int]]:
         return []
     i, j = np.arange(len(x) - least + 1), np.arange(len(y) - least + 1)
     at = np.flatnonzero(np.isin(Substrings(x)(i, i + least), Substrings(y)(j, j + least)))
-    if not len(at) or a[at[0] : at[0] + least] not in b:
+    if not len(at):
         return []
     breaks = np.flatnonzero(np.diff(at) > least)
-    return list(zip(at[np.append(0, breaks + 1)].tolist(), (at[np.append(breaks, len(at) - 1)] + least).tolist(), strict=True))
+    found = zip(at[np.append(0, breaks + 1)].tolist(), (at[np.append(breaks, len(at) - 1)] + least).tolist(), strict=True)
+    return [(i, j) for i, j in found if a[i : i + least] in b]
+
+
+def _shares(a: str, b: str, least: int) -> bool:
+    """Whether two texts have a stretch of ``least`` characters in common: any such stretch of ``a`` holds one of its blocks of half that size. Where blocks stand in ``b`` over and over, all windows are compared instead."""
+    half, met = least // 2, 0
+    for at in range(0, len(a) - half + 1, half) if half else ():
+        block, place = a[at : at + half], -1
+        while (place := b.find(block, place + 1)) >= 0:
+            if (met := met + 1) > 200:
+                return bool(common(a, b, least))
+            i, j = at, place
+            while i and j and i + least > at and a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+            size = at + half - i
+            while size < least and i + size < len(a) and j + size < len(b) and a[i + size] == b[j + size]:
+                size += 1
+            if size >= least:
+                return True
+    return False
+
+
+def _keyed(texts: DataFrame, least: int) -> DataFrame:
+    """(class, key) of the complete symbols of texts (class, text)."""
 
-
-def _keyed(docs: DataFrame, least: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(classes: list[int], texts: list[str]) -> pa.RecordBatch:
-            held, key = keys_of(texts, least)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(classes)[held]), pa.array(key.view(np.int64))], names=["class", "key"])
-
         for batch in batches:
-            classes, texts, held, seen = [], [], 0, set()
-            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if c in seen:
-                    continue
-                seen.add(c)
-                classes.append(c)
-                texts.append(t)
+            texts, begin, held = batch.column(1).to_pylist(), 0, 0
+            for i, t in enumerate(texts):
                 held += len(t)
-                if held > _BATCH:
-                    yield rows(classes, texts)
-                    classes, texts, held = [], [], 0
-            if texts:
-                yield rows(classes, texts)
+                if held > _BATCH or i + 1 == len(texts):
+                    number, key = keys_of(texts[begin : i + 1], least)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(number + begin)), pa.array(key.view(np.int64))], names=["class", "key"])
+                    begin, held = i + 1, 0
 
-    return docs.select("class", "text").mapInArrow(emit, "class bigint, key bigint")
+    return texts.mapInArrow(emit, f"class {_CLASS}, key bigint")
 
 
-def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400) -> tuple[DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, spans: bool = True) -> tuple[DataFrame, DataFrame]:
     """Members and links of the texts that share a verbatim stretch of ``least`` characters or more.
 
     Members: (``key``, class, size), one row per record whose text has at least
     ``least`` characters; equal texts share their class. Links: (class_a,
     class_b, spans_a, spans_b) with class_a < class_b, one row per pair of
-    different texts; the spans are arrays of (begin, end). Null, empty and
-    shorter texts are in neither.
+    different texts; the spans are arrays of (begin, end), null without
+    ``spans``. Null, empty and shorter texts are in neither.
     """
-    held = docs.filter(F.length(text) >= least).select(F.col(key).alias(key), F.col(text).alias("text"), F.xxhash64(text).alias("class"))
-    keyed = _keyed(held, least).distinct()
-    a, b = keyed.toDF("class_a", "key"), keyed.toDF("class_b", "key")
-    pairs = a.join(b, "key").filter("class_a < class_b").select("class_a", "class_b").distinct()
-    texts = held.groupBy("class").agg(F.min("text").alias("text"))
-    both = pairs.join(texts.toDF("class_a", "text_a"), "class_a").join(texts.toDF("class_b", "text_b"), "class_b")
+    held = docs.filter(F.length(text) >= least).select(F.col(key).alias(key), F.col(text).alias("text"), hash128(F.col(text)).alias("class"))
+    texts = cut(held.groupBy("class").agg(F.first("text").alias("text")))
+    met = pairs.sharing(_keyed(texts, least), "key", "class")
+    both = met.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -170,21 +185,24 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         for batch in batches:
             ids, out_a, out_b = [], [], []
             for i, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-                if found := common(x, y, least):
+                if not spans:
+                    ids += [i] if _shares(x, y, least) else []
+                elif found := common(x, y, least):
                     ids.append(i)
                     out_a.append(as_rows(found))
                     out_b.append(as_rows(common(y, x, least)))
             took = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("class_a").take(took), batch.column("class_b").take(took), pa.array(out_a, span), pa.array(out_b, span)], names=["class_a", "class_b", "spans_a", "spans_b"])
+            sides = [pa.array(out, span) if spans else pa.nulls(len(ids), span) for out in (out_a, out_b)]
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(took), batch.column("b").take(took), *sides], names=["class_a", "class_b", "spans_a", "spans_b"])
 
     span = "array<struct<begin:int,end:int>>"
-    links = both.select("class_a", "class_b", "text_a", "text_b").mapInArrow(verify, f"class_a bigint, class_b bigint, spans_a {span}, spans_b {span}")
+    links = both.select("a", "b", "text_a", "text_b").mapInArrow(verify, f"class_a {_CLASS}, class_b {_CLASS}, spans_a {span}, spans_b {span}")
     return held.select(key, "class", F.length("text").alias("size")), links
 
 
 def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400) -> DataFrame:
     """(a, b), a < b: every pair of records whose texts share a stretch of ``least`` characters, copies included."""
-    members, links = shared_spans(docs, key, text, least)
+    members, links = shared_spans(docs, key, text, least, spans=False)
     members = members.select(F.col(key).alias("_k"), "class")
     x, y = members.toDF("x", "class_a"), members.toDF("y", "class_b")
     different = links.select("class_a", "class_b").join(x, "class_a").join(y, "class_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

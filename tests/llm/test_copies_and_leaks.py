@@ -31,6 +31,25 @@ def test_shared_pairs_by_brute_force(spark):
     assert spans.shared_pairs(df.limit(0)).count() == 0
 
 
+def test_a_stretch_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 5)
+    rng = random.Random(15)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    licence = text(80)
+    rows = [(i, text(20) + licence + text(20)) for i in range(40)] + [(100 + i, text(60)) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.a, r.b) for r in spans.shared_pairs(df).collect())
+    assert got == list(itertools.combinations(range(40), 2))
+    assert {r.doc_id: r.partners for r in spans.shared_amounts(df).collect()} == dict.fromkeys(range(40), 39)
+
+
+def test_sharing_by_brute_force():
+    rng = random.Random(16)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        assert spans._shares(a, b, 10) == brute_common(a, b, 10)
+
+
 def test_symbols_do_not_depend_on_place():
     rng = random.Random(8)
     middle = "".join(rng.choice("abc def.\n") for _ in range(900))
