@@ -37,7 +37,7 @@ REGISTERS, BANDS = 128, 32
 #: Classes of a band that meet there.
 HOT = 200
 _BATCH = 1_500_000
-_CLASS = "struct<a:bigint,b:bigint>"
+_HASH = "struct<a:bigint,b:bigint>"
 
 
 def bags(texts: list[str], shingle: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,18 +141,22 @@ def near_records(records: DataFrame, key: str | list[str] = "id", text: str = "c
                 band = band_keys(signatures(record, h, weight, n))[held]
                 table = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(band) + 1, BANDS), pa.int32()), pa.array(band.reshape(-1)))
                 of = pa.StructArray.from_arrays([pa.array(mix(x)[held].view(np.int64)) for x in total], ["a", "b"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n).filter(pa.array(held)), of, table], names=["text", "class", "bands"])
+                own = batch.slice(begin, n).filter(pa.array(held))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), of, table], names=["text", "value", "bag", "bands"])
 
     hashed = records.withColumn("_text", F.when(F.length(text) >= 2 * shingle - 1, hash128(F.col(text))))
-    distinct = cut(hashed.filter("_text is not null").groupBy(F.col("_text").alias("text")).agg(F.first(text).alias("value")))
-    signed = cut(distinct.mapInArrow(sign, f"text {_CLASS}, class {_CLASS}, bands array<bigint>"))
-    classes = signed.groupBy("class").agg(F.min("text").alias("text"), F.first("bands").alias("bands"))
+    distinct = hashed.filter("_text is not null").groupBy(F.col("_text").alias("text")).agg(F.first(text).alias("value"))
+    signed = distinct.mapInArrow(sign, f"text {_HASH}, value string, bag {_HASH}, bands array<bigint>")
+    signed = cut(signed.withColumn("number", F.monotonically_increasing_id()))  # fixed by being written
+    named = cut(signed.select("text", "number", "bag").join(signed.groupBy("bag").agg(F.min("number").alias("class")), "bag").select("text", "number", "class"))
+    others = named.filter("number <> class").select("number")
+    classes = signed.join(others, "number", "left_anti").withColumnRenamed("number", "class")
     banded = classes.select("class", F.explode("bands").alias("band"))
     sizes = cut(pairs.sized(banded, "band"))
-    met = pairs.sharing(banded.join(sizes.filter(F.col("n") <= HOT).select("band"), "band"), "band", "class")
-    crowd = banded.join(sizes.filter(F.col("n") > HOT).select("band"), "band").select("class").distinct().join(classes.select("class", "text"), "class").join(distinct, "text").select("class", "value")
+    met = pairs.sharing(banded, "band", "class", sizes=sizes.filter(F.col("n") <= HOT))
+    crowd = banded.join(sizes.filter(F.col("n") > HOT).select("band"), "band").select("class").distinct().join(classes.select("class", "value"), "class")
     met = met.unionByName(_by_rare_shingles(crowd, shingle, least, weighted)).distinct()
-    texts = classes.select("class", "text").join(distinct, "text").select("class", "value")
+    texts = classes.select("class", "value")
     both = met.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +170,8 @@ def near_records(records: DataFrame, key: str | list[str] = "id", text: str = "c
             took = pa.array(np.flatnonzero(value >= least) if n else [], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(took), batch.column("b").take(took), pa.array(value, pa.float64()).take(took)], names=["class_a", "class_b", "similarity"])
 
-    links = both.select("a", "b", "text_a", "text_b").mapInArrow(verify, f"class_a {_CLASS}, class_b {_CLASS}, similarity double")
-    members = current(hashed, "_text", key=keys).join(signed.select(F.col("text").alias("_text"), "class"), "_text").select(*keys, "class")
+    links = both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "class_a bigint, class_b bigint, similarity double")
+    members = current(hashed, "_text", key=keys).join(named.select(F.col("text").alias("_text"), "class"), "_text").select(*keys, "class")
     return members, links
 
 
@@ -183,7 +187,7 @@ def _by_rare_shingles(classes: DataFrame, shingle: int, least: float, weighted:
                 size = np.bincount(record, minlength=len(texts))[record]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(record + begin)), pa.array(h.view(np.int64)), pa.array(size)], names=["class", "shingle", "size"])
 
-    made = classes.mapInArrow(cut_up, f"class {_CLASS}, shingle bigint, size bigint")
+    made = classes.mapInArrow(cut_up, "class bigint, shingle bigint, size bigint")
     often = pairs.sized(made, "shingle")
     order = Window.partitionBy("class").orderBy("n", "shingle")
     kept = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1

@@ -14,8 +14,8 @@ def sized(keyed: DataFrame, key: str) -> DataFrame:
     return keyed.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
 
 
-def sharing(keyed: DataFrame, key: str, item: str, block: int | None = None) -> DataFrame:
-    """(a, b), a < b: every pair of items that share a key; ``keyed`` has distinct rows (``key``, ``item``).
+def sharing(keyed: DataFrame, key: str, item: str, block: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: every pair of items that share a key; ``keyed`` has distinct rows (``key``, ``item``). ``sizes`` has the keys to go by, if not all, as :func:`sized` gives them.
 
     Keys of one item are left out before anything meets. A key of over
     ``block`` items is cut into blocks by a hash of the item, and each pair of
@@ -23,7 +23,7 @@ def sharing(keyed: DataFrame, key: str, item: str, block: int | None = None) ->
     key and no pair is lost or found in two places.
     """
     block = block or BLOCK
-    sizes = sized(keyed, key).select(key, F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
+    sizes = (sized(keyed, key) if sizes is None else sizes).select(key, F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
     held = keyed.join(sizes, key).withColumn("_own", F.when(F.col("_blocks") > 1, F.pmod(F.xxhash64(item, key), "_blocks")).otherwise(0).cast("int"))
     held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     placed = held.select(key, F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), "_own", item)
