@@ -36,7 +36,6 @@ from corvane.sources.tables import hash128
 #: Characters from which a symbol is complete; it stands for fewer than twice as many.
 GRAIN = 64
 _TOKEN, _ROUNDS, _BATCH = 32, 64, 1_500_000
-_CLASS = "struct<a:bigint,b:bigint>"
 
 
 def complete_symbols(codes: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +161,7 @@ def _keyed(texts: DataFrame, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(number + begin)), pa.array(key.view(np.int64))], names=["class", "key"])
                     begin, held = i + 1, 0
 
-    return texts.mapInArrow(emit, f"class {_CLASS}, key bigint")
+    return texts.mapInArrow(emit, "class bigint, key bigint")
 
 
 def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, spans: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -174,10 +173,11 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     different texts; the spans are arrays of (begin, end), null without
     ``spans``. Null, empty and shorter texts are in neither.
     """
-    held = docs.filter(F.length(text) >= least).select(F.col(key).alias(key), F.col(text).alias("text"), hash128(F.col(text)).alias("class"))
-    texts = cut(held.groupBy("class").agg(F.first("text").alias("text")))
-    met = pairs.sharing(_keyed(texts, least), "key", "class")
-    both = met.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    held = docs.filter(F.length(text) >= least).select(F.col(key).alias(key), F.col(text).alias("text"), hash128(F.col(text)).alias("hash"))
+    texts = cut(held.groupBy("hash").agg(F.first("text").alias("text")).withColumn("class", F.monotonically_increasing_id()))  # fixed by being written
+    met = pairs.sharing(_keyed(texts.select("class", "text"), least), "key", "class")
+    texts_of = lambda side: texts.select(F.col("class").alias(side), F.col("text").alias(f"text_{side}"))
+    both = met.join(texts_of("a"), "a").join(texts_of("b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -196,8 +196,9 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
             yield pa.RecordBatch.from_arrays([batch.column("a").take(took), batch.column("b").take(took), *sides], names=["class_a", "class_b", "spans_a", "spans_b"])
 
     span = "array<struct<begin:int,end:int>>"
-    links = both.select("a", "b", "text_a", "text_b").mapInArrow(verify, f"class_a {_CLASS}, class_b {_CLASS}, spans_a {span}, spans_b {span}")
-    return held.select(key, "class", F.length("text").alias("size")), links
+    links = both.select("a", "b", "text_a", "text_b").mapInArrow(verify, f"class_a bigint, class_b bigint, spans_a {span}, spans_b {span}")
+    members = held.select(key, "hash", F.length("text").alias("size")).join(texts.select("hash", "class"), "hash")
+    return members.select(key, "class", "size"), links
 
 
 def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400) -> DataFrame:
