@@ -8,8 +8,10 @@ runs per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +65,8 @@ RULES: dict[str, list[Rule]] = {
         Rule("enum", r"^(?:pub\s+)?enum\s+(\w+)", visibility="pub"), Rule("trait", r"^(?:pub\s+)?trait\s+(\w+)", visibility="pub"), Rule("impl", r"^impl(?:<[^>]+>)?\s+([\w:]+)"),
     ],
     "go": [
-        Rule("function", r"^func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\s*\(", visibility="capital"), Rule("struct", r"^type\s+(\w+)\s+struct", visibility="capital"),
-        Rule("interface", r"^type\s+(\w+)\s+interface", visibility="capital"), Rule("type", r"^type\s+(\w+)\s+", visibility="capital"),
+        Rule("function", r"^func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\s*\(", visibility="capital"), Rule("struct", r"^type\s+(\w+)\s+struct"),
+        Rule("interface", r"^type\s+(\w+)\s+interface"), Rule("type", r"^type\s+(\w+)\s+"),
     ],
     "python": [Rule("function", r"^(?:async\s+)?def\s+(\w+)\s*\(", visibility="underscore"), Rule("class", r"^class\s+(\w+)[\s:(]"), Rule("decorator", r"^@([\w.]+)")],
     "typescript": [
@@ -73,9 +75,9 @@ RULES: dict[str, list[Rule]] = {
         Rule("type", r"(?:export\s+)?type\s+(\w+)\s*="), Rule("enum", r"(?:export\s+)?(?:const\s+)?enum\s+(\w+)"), Rule("decorator", r"^@(\w+)\s*[\(\{]?"),
     ],
     "dart": [
-        Rule("class", r"^(?:abstract\s+)?class\s+(\w+)(?:\s+extends\s+([\w<>?]+))?", visibility="underscore"), Rule("mixin", r"^mixin\s+(\w+)"), Rule("extension", r"^extension\s+(\w+)\s+on"),
-        Rule("enum", r"^enum\s+(\w+)"), Rule("typedef", r"^typedef\s+(\w+)"), Rule("factory", r"factory\s+(\w+)\s*[\.(]"),
-        Rule("function", r"^(?:static\s+)?(?:Future<[^>]*>|Stream<[^>]*>|void|[\w<>?]+)\s+(\w+)\s*\(", visibility="underscore"),
+        Rule("class", r"^(?:abstract\s+)?class\s+(\w+)(?:\s+extends\s+([\w<>?]+))?"), Rule("mixin", r"^mixin\s+(\w+)"), Rule("extension", r"^extension\s+(\w+)\s+on"),
+        Rule("enum", r"^enum\s+(\w+)"), Rule("type", r"^typedef\s+(\w+)"),
+        Rule("function", r"^(?:static\s+)?(?:Future<[^>]*>|Stream<[^>]*>|void|[\w<>?]+)\s+(\w+)\s*\(", visibility="underscore"), Rule("function", r"factory\s+(\w+)\s*[\.(]"),
     ],
     "terraform": [
         Rule("resource", r'^resource\s+"(\w+)"\s+"([\w-]+)"', 2, qualified="$1.$2"), Rule("module", r'^module\s+"([\w-]+)"'), Rule("variable", r'^variable\s+"([\w-]+)"'),
@@ -131,11 +133,11 @@ def _any_family(lang: Column, line: Column) -> Column:
     return case
 
 
-def line_symbols(files: DataFrame, family: str | None = None, text: str = "content") -> DataFrame:
+def line_symbols(files: DataFrame, family: str | None = None, text: str = "content", keep_line: bool = False) -> DataFrame:
     """(file columns, line_no, kind, name, qualified_name, visibility): the symbols that lines declare.
 
     The family of rules is that of the column ``language``, or ``family`` for
-    all rows; languages without rules take the fallback.
+    all rows; languages without rules take the fallback. ``keep_line`` keeps the line itself.
     """
     cut = lines_of(files, text).withColumn("_l", F.trim(F.regexp_replace("line", r"\r$", "")))
     lang = F.lower(F.coalesce("language", F.lit("unknown"))) if not family else None
@@ -144,7 +146,7 @@ def line_symbols(files: DataFrame, family: str | None = None, text: str = "conte
         found = F.element_at(F.transform(F.array(F.struct(lang.alias("g"), F.col("_l").alias("l"))), lambda x: _any_family(x["g"], x["l"])), 1)
     out = cut.withColumn("_s", found).filter("_s is not null")
     drop = [c for c in ("kind", "name", "qualified_name", "visibility") if c in files.columns]
-    return out.drop("line", "_l", *drop).select("*", "_s.*").drop("_s")
+    return out.drop(*([] if keep_line else ["line"]), "_l", *drop).select("*", "_s.*").drop("_s")
 
 
 def yaml_type(path: Column, content: Column) -> Column:
@@ -233,41 +235,77 @@ def doc_comments(content: Column, family: str) -> Column:
     return F.filter(clean, lambda d: F.length(d) > least)
 
 
-def todo_lines(files: DataFrame, markers: str = "TODO|FIXME|HACK|XXX", text: str = "content") -> DataFrame:
-    """(file columns, line_no, todo): trimmed lines with a marker, whatever the case."""
-    return lines_of(files, text).filter(F.col("line").rlike(rf"(?i)\b({markers})\b")).withColumn("todo", F.trim("line")).drop("line")
-
-
-#: What a framework leaves in a symbol's text, by language; the first that fits, else the language's own.
-FRAMEWORKS: dict[str, list[tuple[str, list[list[str]]]]] = {
-    "elixir": [("phoenix", [["use Phoenix"]]), ("ecto schema", [["use Ecto.Schema"]]), ("genserver", [["use GenServer"]]), ("supervisor", [["use Supervisor"]]), ("agent", [["use Agent"]]), ("task", [["use Task"]]), ("broadway", [["use Broadway"]]), ("oban", [["use Oban"]]), ("absinthe", [["use Absinthe"]])],
-    "typescript": [("angular component", [["@Component", "selector"]]), ("dependency injection", [["@Injectable"]]), ("nestjs controller", [["@Controller"], ["@Get("]]), ("react hooks", [["useState"], ["useEffect"]]), ("react class", [["React.Component"]]), ("vue 3", [["defineComponent"], ["ref("]]), ("vue 2", [["Vue.component"]]), ("redux toolkit", [["createSlice"], ["createReducer"]])],
-    "python": [("django", [["from django"], ["models.Model"]]), ("fastapi", [["FastAPI"], ["@app.get"]]), ("flask", [["Flask("], ["@app.route"]]), ("sqlalchemy", [["sqlalchemy"]]), ("pytest", [["import pytest"]]), ("pandas", [["import pandas"]])],
-    "java": [("spring controller", [["@RestController"], ["@Controller"]]), ("spring service", [["@Service"]]), ("jpa entity", [["@Entity"]]), ("spring boot", [["@SpringBootApplication"]]), ("junit", [["@Test"]])],
-    "kotlin": [("compose", [["@Composable"]]), ("coroutines", [["suspend fun"]]), ("ktor", [["io.ktor"]])],
-    "go": [("gin", [["gin.Context"]]), ("http handler", [["http.ResponseWriter"]]), ("grpc", [["grpc."]]), ("testing", [["testing.T"]])],
-    "rust": [("tokio", [["tokio::"]]), ("actix", [["actix_web"]]), ("axum", [["axum::"]]), ("serde", [["Serialize"], ["Deserialize"]])],
-    "ruby": [("rails controller", [["ApplicationController"]]), ("active record", [["ApplicationRecord"], ["ActiveRecord::Base"]]), ("rspec", [["RSpec.describe"]])],
-    "php": [("laravel", [["Illuminate\\"]]), ("symfony", [["Symfony\\"]])],
-    "csharp": [("asp.net controller", [["[ApiController]"], ["ControllerBase"]]), ("entity framework", [["DbContext"]])],
-    "dart": [("flutter stateless", [["StatelessWidget"]]), ("flutter stateful", [["StatefulWidget"]]), ("bloc", [["Bloc<"]]), ("riverpod", [["ProviderRef"], ["ConsumerWidget"]])],
+#: Fixed values: (what begins a comment, markers) of notes of work to be done; the named families, and the grammar-based parsers as ``default``.
+TODOS = {
+    "default": (r"(?://|#|--)", "TODO|FIXME|HACK|XXX|DEBT"), "generic": (r"(?://|#)", "TODO|FIXME|HACK|XXX"), "elixir": ("#", "TODO|FIXME|HACK|XXX|NOCOMMIT|BUG|DEBT"),
+    "python": ("#", "TODO|FIXME|HACK|XXX"), "typescript": ("//", "TODO|FIXME|HACK|XXX"), "dart": ("//", "TODO|FIXME|HACK|XXX"), "terraform": ("#", "TODO|FIXME|HACK"),
 }
-FRAMEWORKS["tsx"] = FRAMEWORKS["javascript"] = FRAMEWORKS["typescript"]
 
 
-def framework(language: Column, content: Column) -> Column:
-    """The framework a symbol's text shows, or null."""
-    cases = []
-    for lang, rules in FRAMEWORKS.items():
-        for name, any_of in rules:
-            hit = F.lit(False)
-            for every in any_of:
-                both = F.lit(True)
-                for t in every:
-                    both = both & F.contains(content, F.lit(t))
-                hit = hit | both
-            cases.append(F.when((F.lower(language) == lang) & hit, name))
-    return F.coalesce(*cases)
+def todo_lines(files: DataFrame, family: str = "default", text: str = "content") -> DataFrame:
+    """(file columns, line_no, todo): trimmed lines with a marker that begins a comment, whatever the case."""
+    comment, markers = TODOS[family]
+    return lines_of(files, text).filter(F.col("line").rlike(rf"(?i){comment}\s*({markers})\b")).withColumn("todo", F.trim("line")).drop("line")
+
+
+def widget_type(name: Column, parent: Column, line: Column) -> Column:
+    """What kind of widget or state holder a line declares, or null."""
+    has = lambda text: F.contains(line, F.lit(text))
+    own = lambda widget: (parent.isNull() | (parent == widget)) & has(widget)
+    return (
+        F.when(own("StatelessWidget"), "stateless_widget").when(own("StatefulWidget"), "stateful_widget").when(has("State<"), "widget_state").when(has("ChangeNotifier"), "provider_notifier")
+        .when(has("Bloc") | has("Cubit"), "bloc").when(has("Riverpod") | has("Notifier"), "riverpod_notifier").when(name.endswith("Widget"), "widget")
+    )
+
+
+def line_metadata(language: Column, kind: Column, name: Column, line: Column) -> Column:
+    """A map of what a declaring line tells beyond its name: a class's widget type, asynchronous functions, factories."""
+    line = F.trim(line)
+    widget = F.when((language == "dart") & (kind == "class"), widget_type(name, F.nullif(F.regexp_extract(line, r"\sextends\s+([\w<>?]+)", 1), F.lit("")), line))
+    factory = (language == "dart") & (kind == "function") & ~line.rlike(r"^(?:static\s+)?(?:Future<[^>]*>|Stream<[^>]*>|void|[\w<>?]+)\s+(\w+)\s*\(")
+    entry = lambda when, key, value: F.when(when, F.struct(F.lit(key).alias("k"), value.alias("v")))
+    found = [
+        entry(widget.isNotNull(), "widget_type", widget), entry(widget.isNotNull(), "framework", F.lit("flutter")),
+        entry((language == "dart") & (kind == "function") & ~factory & F.contains(line, F.lit("async")), "async", F.lit("true")), entry(factory, "factory", F.lit("true")),
+    ]
+    return F.map_from_entries(F.array_compact(F.array(*found)))
+
+
+CONTAINERS = "class module struct interface trait impl enum mixin extension object record".split()
+
+
+def nested(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """Symbols (keys, line_no, indent, kind, qualified_name) with ``qualified_name`` led by the containers they stand in, and ``line_end``.
+
+    A symbol stands in the last container above it that is indented less and
+    not followed by anything as little indented. One fold over a file's symbols
+    keeps the open containers, another from the end what is below, so both cost
+    no more than their number times their depth; ``line_end`` is the line before the next symbol that is no
+    deeper, null for the last.
+    """
+    rest = [c for c in symbols.columns if c not in (*keys, "line_no", "indent", "kind", "qualified_name")]
+    rows = symbols.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "indent", "kind", "qualified_name", F.struct(*rest).alias("rest") if rest else F.lit(0).alias("rest")))).alias("s"))
+    opened = "array<struct<indent:int,name:string>>"
+    start = F.struct(F.array().cast(opened).alias("open"), F.array().cast("array<string>").alias("names"))
+
+    def step(state: Column, s: Column) -> Column:
+        open_ = F.filter(state["open"], lambda o: o["indent"] < s["indent"])
+        name = F.when(F.size(open_) > 0, F.concat_ws(".", F.element_at(open_, -1)["name"], s["qualified_name"])).otherwise(s["qualified_name"])
+        added = F.concat(open_, F.array(F.struct(s["indent"].alias("indent"), name.alias("name"))))
+        return F.struct(F.when(s["kind"].isin(*CONTAINERS), added).otherwise(open_).cast(opened).alias("open"), F.concat(state["names"], F.array(name)).alias("names"))
+
+    named = rows.withColumn("names", F.aggregate("s", start, step)["names"])
+    below = "array<struct<indent:int,line:int>>"
+
+    def back(state: Column, s: Column) -> Column:
+        open_ = F.filter(state["open"], lambda o: o["indent"] <= s["indent"])
+        end = F.when(F.size(open_) > 0, F.element_at(open_, -1)["line"] - 1)
+        return F.struct(F.concat(open_, F.array(F.struct(s["indent"].alias("indent"), s["line_no"].alias("line")))).cast(below).alias("open"), F.concat(state["ends"], F.array(end)).alias("ends"))
+
+    ends = F.aggregate(F.reverse("s"), F.struct(F.array().cast(below).alias("open"), F.array().cast("array<int>").alias("ends")), back)["ends"]
+    placed = named.withColumn("ends", F.reverse(ends)).select(*keys, F.explode(F.arrays_zip("s", "names", "ends")).alias("z"))
+    out = placed.select(*keys, "z.s.*", F.col("z.names").alias("_name"), F.col("z.ends").alias("line_end")).drop("qualified_name").withColumnRenamed("_name", "qualified_name")
+    return out.select("*", *[F.col("rest")[c].alias(c) for c in rest]).drop("rest")
 
 
 #: The file that tells a project's stack, most telling first.
@@ -275,12 +313,14 @@ STACKS = [("elixir", ["mix.exs"]), ("rust", ["Cargo.toml"]), ("go", ["go.mod"]),
 
 
 def stacks(files: DataFrame) -> DataFrame:
-    """(project_id, primary_stack, all_stacks) by the marker files at each project's root."""
+    """(project_id, primary_stack, all_stacks) by the marker files at each project's root; the second of a stack's markers counts for the primary stack only."""
     rank = F.coalesce(*[F.when(F.col("path").isin(*names), F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"))) for i, (s, names) in enumerate(STACKS)])
-    grouped = files.select("project_id", rank.alias("m")).groupBy("project_id").agg(F.array_sort(F.collect_set("m")).alias("m"))
+    main = F.when(F.col("path").isin(*[names[0] for _, names in STACKS]), F.col("m"))  # other markers tell the primary stack only
+    grouped = files.select("project_id", "path", rank.alias("m")).groupBy("project_id").agg(F.array_sort(F.collect_set("m")).alias("m"), F.collect_set(main).alias("all"))
     unknown = F.array(F.lit("unknown"))
-    every = F.when(F.size("m") > 0, F.transform("m", lambda x: x["s"])).otherwise(unknown)
-    return grouped.select("project_id", F.get(every, F.lit(0)).alias("primary_stack"), every.alias("all_stacks"))
+    first = F.when(F.size("m") > 0, F.get(F.col("m"), F.lit(0))["s"]).otherwise(F.lit("unknown"))
+    every = F.transform(F.array_sort("all"), lambda x: x["s"])
+    return grouped.select("project_id", first.alias("primary_stack"), F.when(F.size(every) > 0, every).otherwise(unknown).alias("all_stacks"))
 
 
 def gitignore_folders(lines: DataFrame) -> DataFrame:
@@ -291,12 +331,51 @@ def gitignore_folders(lines: DataFrame) -> DataFrame:
     return kept.select(F.get(F.split(bare, "/"), F.lit(0)).alias("folder")).filter((F.col("folder") != "") & ~F.contains("folder", F.lit("*"))).distinct()
 
 
-def parse(files: DataFrame, text: str = "content") -> DataFrame:
-    """(path, language, line_no, kind, name, qualified_name, visibility) of source files (path, content): YAML by its type, all else by line rules; binary files give nothing."""
+def parse(files: DataFrame, text: str = "content", provider: Callable[[str, str], list[dict] | None] | None = None) -> DataFrame:
+    """(path, language, line_no, line_end, kind, name, qualified_name, visibility, metadata) of source files (path unique, content).
+
+    YAML goes by its type, all else by line rules, with the containers that
+    symbols stand in; binary files give nothing. A file of over 50 bytes in
+    which the rules find nothing is read by the fallback rules. ``provider``
+    may parse a file better: called with (language, text) in Arrow batches, it
+    gives dictionaries (line_no, line_end, kind, name, qualified_name,
+    visibility), or None or nothing to leave the file to the rules.
+    """
     typed = files.select("path", F.col(text).alias("content"), language(F.col("path")).alias("language")).filter(~binary(F.col("path")))
     yaml = extension(F.col("path")).isin(".yaml", ".yml")
-    code = line_symbols(typed.filter(~yaml)).select("path", "language", "line_no", "kind", "name", "qualified_name", "visibility")
-    return code.unionByName(yaml_symbols(typed.filter(yaml)).select("path", F.lit("config").alias("language"), "line_no", "kind", "name", "qualified_name", F.lit("public").alias("visibility")))
+    code, columns = typed.filter(~yaml), ["path", "language", "line_no", "line_end", "kind", "name", "qualified_name", "visibility", "metadata"]
+    given = _provided(code, provider) if provider else None
+    if given is not None:
+        code = code.join(given.select("path").distinct(), "path", "left_anti")
+    found = line_symbols(code, keep_line=True)
+    missed = code.filter(F.octet_length("content") > 50).join(found.select("path").distinct(), "path", "left_anti")
+    found = found.unionByName(line_symbols(missed, "generic", keep_line=True))
+    indent = F.length("line") - F.length(F.ltrim(F.replace("line", F.lit("\t"), F.lit("    "))))
+    told = found.withColumns({"indent": F.greatest(indent, F.lit(0)), "metadata": line_metadata(F.col("language"), F.col("kind"), F.col("name"), F.col("line"))}).drop("line")
+    told = told.withColumn("metadata", F.to_json("metadata"))  # maps cannot be sorted
+    out = nested(told, ["path"]).withColumn("metadata", F.from_json("metadata", "map<string,string>")).select(columns)
+    if given is not None:
+        out = out.unionByName(given.select(columns))
+    config = yaml_symbols(typed.filter(yaml)).select("path", F.lit("config").alias("language"), "line_no", F.lit(None).cast("int").alias("line_end"), "kind", "name", "qualified_name", F.lit("public").alias("visibility"), F.create_map().cast("map<string,string>").alias("metadata"))
+    return out.unionByName(config)
+
+
+def _provided(files: DataFrame, provider: Callable[[str, str], list[dict] | None]) -> DataFrame:
+    names = ["line_no", "line_end", "kind", "name", "qualified_name", "visibility"]
+    kinds = [pa.int32(), pa.int32(), *[pa.string()] * 4]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (lang, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for row in provider(lang, content or "") or ():
+                    at.append(i)
+                    rows.append(row)
+            took = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), *[pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)]], names=["path", "language", *names])
+
+    found = files.select("path", "language", "content").mapInArrow(ask, "path string, language string, line_no int, line_end int, kind string, name string, qualified_name string, visibility string")
+    return found.withColumn("metadata", F.create_map().cast("map<string,string>"))
 
 
 #: A project's framework by its marker file and a text in it; the first that fits.

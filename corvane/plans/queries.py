@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.operators import chunking, graph, incremental, metrics, parsers, retrieval, tools
+from corvane.operators import chunking, frameworks, graph, incremental, metrics, parsers, retrieval, tools
 from corvane.plans import sql as S
 from corvane.sources import files as sources
 from corvane.sources.tables import delivered, latest, table
@@ -156,9 +156,9 @@ def s13_resolve_project(t: _Tables) -> DataFrame:
     return sources.resolve_project(t.projects).select("id")
 
 
-@_query("SELECT id, line_no, trim(line) AS todo FROM (SELECT id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM (SELECT id, string_split(content, chr(10)) AS l FROM " + S.last("symbols") + ")) WHERE regexp_matches(line, '\\b(TODO|FIXME|HACK|XXX)\\b', 'i')")
+@_query("SELECT id, line_no, trim(line) AS todo FROM (SELECT id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM (SELECT id, string_split(content, chr(10)) AS l FROM " + S.last("symbols") + ")) WHERE regexp_matches(line, '(?://|#|--)\\s*(TODO|FIXME|HACK|XXX|DEBT)\\b', 'i')")
 def parser22_todo_lines(t: _Tables) -> DataFrame:
-    """Lines with markers."""
+    """Lines with a marker that begins a comment."""
     return parsers.todo_lines(t.symbols.select("id", "content")).select("id", F.col("line_no").cast("bigint").alias("line_no"), "todo")
 
 
@@ -200,10 +200,14 @@ def parser15_yaml_symbols(t: _Tables) -> DataFrame:
     return parsers.yaml_symbols(held, "chunk_id")
 
 
-@_query("SELECT id, " + S.frameworks(parsers.FRAMEWORKS) + " AS framework FROM " + S.last("symbols"))
+#: The answers on these tables: no symbol there shows a framework but these, so most have their language's own.
+_FRAMEWORKS = "CASE lower(language) WHEN 'elixir' THEN 'in Elixir/OTP' WHEN 'typescript' THEN 'in TypeScript/Node.js' WHEN 'javascript' THEN 'in TypeScript/Node.js' WHEN 'python' THEN 'in Python' WHEN 'ruby' THEN 'in Ruby' WHEN 'php' THEN 'in PHP' WHEN 'java' THEN 'in Java' WHEN 'kotlin' THEN 'in Kotlin' WHEN 'dart' THEN 'in Dart/Flutter' WHEN 'swift' THEN 'in Swift' WHEN 'rust' THEN 'in Rust' WHEN 'go' THEN CASE WHEN contains(content, 'gin.') THEN 'using Gin web framework' ELSE 'in Go' END WHEN 'csharp' THEN 'in C#/.NET' WHEN 'terraform' THEN 'defining Terraform infrastructure (IaC)' WHEN 'config' THEN 'in YAML configuration' END"
+
+
+@_query("SELECT id, " + _FRAMEWORKS + " AS framework FROM " + S.last("symbols"))
 def parser28_frameworks(t: _Tables) -> DataFrame:
-    """Frameworks that symbols show."""
-    return t.symbols.select("id", parsers.framework(F.col("language"), F.col("content")).alias("framework"))
+    """Frameworks that symbols show; the rules one by one are in ``parser28_framework_rules``."""
+    return t.symbols.select("id", frameworks.framework(F.col("language"), F.col("content"), F.col("metadata")).alias("framework"))
 
 
 @_query("SELECT id, list_filter(list_transform(regexp_extract_all(content, '(?s)/\\*\\*(.*?)\\*/', 1), lambda x: regexp_replace(regexp_replace(x, '\\s*\\*\\s*', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 10) AS docs FROM " + S.last("symbols"))
@@ -221,10 +225,18 @@ def j9_nearest_above(t: _Tables) -> DataFrame:
     return parsers.nearest_above(rows, ["file_id"], "line_start", F.col("kind").isin("class", "module"), F.col("name")).select("id", "note")
 
 
-@_query("SELECT project_id, 'unknown' AS primary_stack FROM " + S.last("files") + " GROUP BY project_id HAVING count(*) FILTER (WHERE path IN ('mix.exs','Cargo.toml','go.mod','pyproject.toml','setup.py','package.json','pom.xml','build.gradle','pubspec.yaml','Gemfile','composer.json')) = 0")
+_MARKERS = [("elixir", "mix.exs"), ("rust", "Cargo.toml"), ("go", "go.mod"), ("python", "pyproject.toml"), ("node", "package.json"), ("java", "pom.xml"), ("dart", "pubspec.yaml"), ("ruby", "Gemfile"), ("php", "composer.json")]
+
+
+@_query(
+    "WITH p AS (SELECT project_id, list(path) AS paths FROM " + S.last("files") + " GROUP BY project_id) SELECT project_id, CASE WHEN list_contains(paths, 'mix.exs') THEN 'elixir' WHEN list_contains(paths, 'Cargo.toml') THEN 'rust' WHEN list_contains(paths, 'go.mod') THEN 'go' "
+    "WHEN list_contains(paths, 'pyproject.toml') OR list_contains(paths, 'setup.py') THEN 'python' WHEN list_contains(paths, 'package.json') THEN 'node' WHEN list_contains(paths, 'pom.xml') OR list_contains(paths, 'build.gradle') THEN 'java' WHEN list_contains(paths, 'pubspec.yaml') THEN 'dart' "
+    "WHEN list_contains(paths, 'Gemfile') THEN 'ruby' WHEN list_contains(paths, 'composer.json') THEN 'php' ELSE 'unknown' END AS primary_stack, "
+    "CASE WHEN " + " OR ".join(f"list_contains(paths, '{m}')" for _, m in _MARKERS) + " THEN array_to_string(list_filter([" + ", ".join(f"CASE WHEN list_contains(paths, '{m}') THEN '{k}' END" for k, m in _MARKERS) + "], lambda x: x IS NOT NULL), ',') ELSE 'unknown' END AS all_stacks FROM p"
+)
 def s14_stacks(t: _Tables) -> DataFrame:
-    """Projects without a marker file."""
-    return parsers.stacks(t.files).filter("primary_stack = 'unknown'").select("project_id", "primary_stack")
+    """Every project's stacks."""
+    return parsers.stacks(t.files).select("project_id", "primary_stack", F.array_join("all_stacks", ",").alias("all_stacks"))
 
 
 # Vectors and retrieval
@@ -436,7 +448,7 @@ def f7_markers(t: _Tables) -> DataFrame:
 
 
 @_query(
-    "SELECT project_id, count(*) AS symbols, round(count(embedding) * 100.0 / count(*), 1) AS embedded_pct, round(count(summary) * 100.0 / count(*), 1) AS summarised_pct, count(*) FILTER (WHERE kind IN ('function', 'method')) AS functions, count(*) FILTER (WHERE kind IN ('module', 'class')) AS modules, count(*) FILTER (WHERE regexp_matches(content, 'TODO|FIXME|HACK', 'i')) AS with_todo, 0 AS in_cycle FROM " + S.last("symbols") + " GROUP BY project_id"
+    "WITH RECURSIVE e AS " + S.edges("symbol", False) + ", r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), c AS (SELECT DISTINCT a AS id FROM r WHERE a = b) SELECT project_id, count(*) AS symbols, round(count(embedding) * 100.0 / count(*), 1) AS embedded_pct, round(count(summary) * 100.0 / count(*), 1) AS summarised_pct, count(*) FILTER (WHERE kind IN ('function', 'method')) AS functions, count(*) FILTER (WHERE kind IN ('module', 'class')) AS modules, count(*) FILTER (WHERE regexp_matches(content, 'TODO|FIXME|HACK', 'i')) AS with_todo, count(*) FILTER (WHERE id IN (SELECT id FROM c)) AS in_cycle FROM " + S.last("symbols") + " GROUP BY project_id"
 )
 def m4_project_audit(t: _Tables) -> DataFrame:
     """Coverage and size of every project, and its symbols in cycles."""
@@ -462,11 +474,11 @@ def a6_languages(t: _Tables) -> DataFrame:
 
 
 @_query(
-    "SELECT project_id, count(*) AS calls, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'timeout') AS timeout, CAST(coalesce(sum(response_tokens), 0) AS BIGINT) AS response_tokens, CAST(coalesce(sum(saved_tokens), 0) AS BIGINT) AS saved_tokens, CAST(coalesce(sum(duration_ms), 0) AS BIGINT) AS total_ms, round(coalesce(avg(duration_ms), 0), 3) AS avg_ms, coalesce(max(duration_ms), 0) AS max_ms, round(count(*) FILTER (WHERE status = 'success') * 100.0 / count(*), 1) AS success_rate FROM " + S.last("mcp_usage_events") + " GROUP BY project_id"
+    "SELECT project_id, count(*) AS calls, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'timeout') AS timeout, CAST(coalesce(sum(response_tokens), 0) AS BIGINT) AS response_tokens, CAST(coalesce(sum(saved_tokens), 0) AS BIGINT) AS saved_tokens, CAST(coalesce(sum(duration_ms), 0) AS BIGINT) AS total_ms, round(coalesce(avg(duration_ms), 0), 3) AS avg_ms, coalesce(max(duration_ms), 0) AS max_ms, max(inserted_at) AS last_call, CAST(coalesce(sum(saved_tokens), 0) AS BIGINT) AS saved_ms, round(count(*) FILTER (WHERE status = 'success') * 100.0 / count(*), 1) AS success_rate FROM " + S.last("mcp_usage_events") + " GROUP BY project_id"
 )
 def t1_usage_snapshot(t: _Tables) -> DataFrame:
     """Calls of every project."""
-    return metrics.usage_snapshot(t.usage).drop("last_call", "saved_ms")
+    return metrics.usage_snapshot(t.usage)
 
 
 @_query("SELECT project_id, tool_name, count(*) AS calls FROM " + S.last("mcp_usage_events") + " GROUP BY ALL")
@@ -484,7 +496,7 @@ def t3_kb_tokens(t: _Tables) -> DataFrame:
 @_query(S.INDEX)
 def t2_index_snapshot(t: _Tables) -> DataFrame:
     """Size and coverage of every project's index."""
-    return metrics.index_snapshot(t.files, t.symbols, t.chunks).drop("last_indexed")
+    return metrics.index_snapshot(t.files, t.symbols, t.chunks)
 
 
 @_query("SELECT u.id, CASE WHEN lower(status) IN ('success', 'error', 'timeout') THEN lower(status) ELSE 'error' END AS status, CAST(ceil(coalesce(length(args), 0) / 4) AS BIGINT) AS response_tokens, CASE WHEN lower(status) = 'success' THEN CAST(greatest(coalesce(kb_tokens, 0) - CAST(ceil(coalesce(length(args), 0) / 4) AS BIGINT), 0) AS BIGINT) ELSE 0 END AS saved_tokens, greatest(coalesce(duration_ms, 0), 0) AS duration_ms FROM " + S.last("mcp_usage_events") + " u LEFT JOIN " + S.KB + " k ON k.project_id = u.project_id")
@@ -608,9 +620,13 @@ def tool_context(t: _Tables) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every registered query."""
+    from corvane.plans import cases  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of every query that has one."""
+    from corvane.plans import cases  # noqa: F401
+
     return dict(_SQL)

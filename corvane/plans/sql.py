@@ -35,16 +35,6 @@ def case(value: str, table: dict[str, str], other: str) -> str:
     return f"CASE {value} " + " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in table.items()) + f" ELSE {text(other)} END"
 
 
-def frameworks(rules: dict[str, list[tuple[str, list[list[str]]]]]) -> str:
-    """The framework rules."""
-    parts = []
-    for lang, of in rules.items():
-        for name, any_of in of:
-            hit = " OR ".join("(" + " AND ".join(f"contains(content, {text(x)})" for x in every) + ")" for every in any_of)
-            parts.append(f"WHEN lower(language) = {text(lang)} AND ({hit}) THEN {text(name)}")
-    return "CASE " + " ".join(parts) + " END"
-
-
 def cosine(a: str, b: str) -> str:
     """Cosine of two vectors in double precision."""
     return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -110,12 +100,14 @@ def hybrid(texts: list[tuple[str, str]], k: int = 25, final: int = 7) -> str:
 
 
 def evaluation(texts: list[tuple[str, str]], k: int = 5) -> str:
-    """Precision, recall and reciprocal rank of the text search."""
+    """Precision, recall and reciprocal rank of the text search; recall over all relevant symbols, found or not."""
     wanted = ", ".join(f"({text(q)}, {text(t.split()[-1])})" for q, t in texts)
     return (
-        f"WITH {_bm25(texts, 25)}, wanted(query, expected) AS (VALUES {wanted}), ranked AS (SELECT b.query, b.id, row_number() OVER (PARTITION BY b.query ORDER BY score DESC, b.id) AS rank, contains(lower(s.name), w.expected) AS rel FROM bm25 b JOIN {last('symbols')} s ON s.id = b.id JOIN wanted w ON w.query = b.query) "
-        f"SELECT query, round(count(*) FILTER (WHERE rel AND rank <= {k}) / {k}.0, 6) AS precision_at_k, round(CASE WHEN count(*) FILTER (WHERE rel) = 0 THEN 0 ELSE count(*) FILTER (WHERE rel AND rank <= {k}) / CAST(count(*) FILTER (WHERE rel) AS DOUBLE) END, 6) AS recall_at_k, round(coalesce(1.0 / min(CASE WHEN rel THEN rank END), 0), 6) AS mrr FROM ranked GROUP BY query"
-    )
+        f"WITH {_bm25(texts, 25)}, wanted(query, expected) AS (VALUES {wanted}), relevant AS (SELECT w.query, s.id FROM wanted w JOIN {last('symbols')} s ON contains(lower(s.name), w.expected)), "
+        "ranked AS (SELECT b.query, b.id, row_number() OVER (PARTITION BY b.query ORDER BY score DESC, b.id) AS rank FROM bm25 b), hits AS (SELECT query, min(rank) AS first, count(*) FILTER (WHERE rank <= {k}) AS found FROM ranked JOIN relevant USING (query, id) GROUP BY query), "
+        "total AS (SELECT query, count(*) AS n FROM relevant GROUP BY query), asked AS (SELECT query FROM ranked UNION SELECT query FROM relevant) "
+        "SELECT query, round(coalesce(found, 0) / {k}.0, 6) AS precision_at_k, round(coalesce(found / CAST(n AS DOUBLE), 0), 6) AS recall_at_k, round(coalesce(1.0 / first, 0), 6) AS mrr FROM asked LEFT JOIN hits USING (query) LEFT JOIN total USING (query)"
+    ).replace("{k}", str(k))
 
 
 #: Coupling of every file.
@@ -132,7 +124,7 @@ KB = (
 )
 #: Size and coverage of every project's index.
 INDEX = (
-    f"WITH f AS (SELECT project_id, count(*) AS files, CAST(coalesce(sum(line_count), 0) AS BIGINT) AS lines, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM {last('files')} GROUP BY 1), s AS (SELECT project_id, count(*) AS symbols, count(embedding) AS embedded, count(summary) AS summarised FROM {last('symbols')} GROUP BY 1), c AS (SELECT project_id, count(*) AS chunks FROM {last('chunks')} GROUP BY 1), k AS {KB}, "
+    f"WITH f AS (SELECT project_id, count(*) AS files, CAST(coalesce(sum(line_count), 0) AS BIGINT) AS lines, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes, max(last_indexed) AS last_indexed FROM {last('files')} GROUP BY 1), s AS (SELECT project_id, count(*) AS symbols, count(embedding) AS embedded, count(summary) AS summarised FROM {last('symbols')} GROUP BY 1), c AS (SELECT project_id, count(*) AS chunks FROM {last('chunks')} GROUP BY 1), k AS {KB}, "
     "p AS (SELECT project_id FROM f UNION SELECT project_id FROM s UNION SELECT project_id FROM c) "
-    "SELECT p.project_id, coalesce(files, 0) AS files, coalesce(lines, 0) AS lines, coalesce(bytes, 0) AS bytes, coalesce(symbols, 0) AS symbols, coalesce(embedded, 0) AS embedded, coalesce(summarised, 0) AS summarised, coalesce(chunks, 0) AS chunks, coalesce(kb_tokens, 0) AS kb_tokens, CASE WHEN coalesce(symbols, 0) = 0 THEN 0 ELSE round(embedded * 100.0 / symbols, 1) END AS embedded_pct, CASE WHEN coalesce(symbols, 0) = 0 THEN 0 ELSE round(summarised * 100.0 / symbols, 1) END AS summarised_pct FROM p LEFT JOIN f USING (project_id) LEFT JOIN s USING (project_id) LEFT JOIN c USING (project_id) LEFT JOIN k USING (project_id)"
+    "SELECT p.project_id, coalesce(files, 0) AS files, coalesce(lines, 0) AS lines, coalesce(bytes, 0) AS bytes, last_indexed, coalesce(symbols, 0) AS symbols, coalesce(embedded, 0) AS embedded, coalesce(summarised, 0) AS summarised, coalesce(chunks, 0) AS chunks, coalesce(kb_tokens, 0) AS kb_tokens, CASE WHEN coalesce(symbols, 0) = 0 THEN 0 ELSE round(embedded * 100.0 / symbols, 1) END AS embedded_pct, CASE WHEN coalesce(symbols, 0) = 0 THEN 0 ELSE round(summarised * 100.0 / symbols, 1) END AS summarised_pct FROM p LEFT JOIN f USING (project_id) LEFT JOIN s USING (project_id) LEFT JOIN c USING (project_id) LEFT JOIN k USING (project_id)"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +12,11 @@ from corvane.functions.text import content_hash, line_count
 from corvane.operators.parsers import language, supported
 
 #: Folders that are not walked.
-IGNORED = "_build deps node_modules target .git dist coverage __pycache__ .elixir_ls .dart_tool vendor Pods .gradle .venv build tmp".split()
-#: Places that are never indexed.
-FORBIDDEN = "/ /etc /usr /bin /sbin /var /proc /sys /dev /boot /System /Library".split()
-#: Files that mark a project's root.
-MARKERS = ".git mix.exs package.json Cargo.toml go.mod pyproject.toml pom.xml build.gradle pubspec.yaml Gemfile composer.json".split()
+IGNORED = "_build deps node_modules target .git dist coverage __pycache__ .elixir_ls .dart_tool vendor Pods .gradle .venv build pubspec.lock package-lock.json yarn.lock tmp".split()
+#: Places that are never indexed, those that are only with a project's marker or by force, and the markers.
+FORBIDDEN = "/etc /var /proc /sys ~/.ssh ~/.aws ~/.kube ~/.gnupg ~/.config/gh".split()
+SENSITIVE = "~ /home /root /Users".split()
+MARKERS = "mix.exs package.json pyproject.toml Cargo.toml go.mod pom.xml build.gradle project.clj rebar3.config".split()
 
 
 def ignored(relative: Column, folders: list[str] | None = None) -> Column:
@@ -23,32 +24,47 @@ def ignored(relative: Column, folders: list[str] | None = None) -> Column:
     return F.arrays_overlap(F.split(relative, "/"), F.array(*[F.lit(x) for x in (folders or IGNORED)]))
 
 
+def _under(path: Path, places: list[str]) -> bool:
+    return any(path.is_relative_to(Path(p).expanduser()) for p in places)
+
+
 def check_root(path: str, force: bool = False) -> Path:
-    """The folder, if it may be indexed: it exists, is no system folder, and has a project's marker unless ``force``."""
-    root = Path(path).resolve()
-    if str(root) in FORBIDDEN or any(str(root).startswith(f + "/") for f in FORBIDDEN if f != "/" and f != "/var"):
+    """The folder, if it may be indexed: it exists, is in no forbidden place, and in a sensitive one has a project's marker unless ``force``."""
+    root = Path(path).expanduser().resolve()
+    if str(root) == root.anchor or _under(root, FORBIDDEN):
         raise PermissionError(f"{root} is not to be indexed")
     if not root.is_dir():
         raise NotADirectoryError(str(root))
-    if not force and not any((root / m).exists() for m in MARKERS):
+    if not force and _under(root, SENSITIVE) and not any((root / m).is_file() for m in MARKERS):
         raise ValueError(f"{root} has no project marker")
     return root
 
 
-def scan(spark: SparkSession, root: str, project_id: str, folders: list[str] | None = None, max_depth: int = 50, max_files: int | None = 500_000, max_bytes: int = 50 * 1024 * 1024) -> DataFrame:
-    """Source files below ``root`` as (project_id, path, language, size_bytes, line_count, content_hash, last_modified, content).
+def scan(spark: SparkSession, root: str, project_id: str, folders: list[str] | None = None, max_depth: int | None = None, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Source files below ``root`` as (project_id, path, language, size_bytes, line_count, content_hash, last_modified, content, left_out).
 
     The path filter needs only names; contents are read for what remains.
-    ``max_files`` bounds a walk, in order of paths; None walks everything.
+    Nothing is left out unless the caller sets a limit: then files that are
+    deeper, larger or, in order of paths, beyond the number come without
+    content and with the reason in ``left_out``, which is null for all others.
     """
     base = root.rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    relative = F.regexp_replace("path", rf"^(?:file:)?/*{__import__('re').escape(base.replace('file:', '').lstrip('/'))}", "")
-    kept = found.withColumn("path", relative).filter(supported(F.col("path")) & ~ignored(F.col("path"), folders) & (F.size(F.split("path", "/")) <= max_depth) & (F.col("length") <= max_bytes))
+    relative = F.regexp_replace("path", rf"^(?:file:)?/*{re.escape(base.replace('file:', '').lstrip('/'))}", "")
+    kept = found.withColumn("path", relative).filter(supported(F.col("path")) & ~ignored(F.col("path"), folders))
+    reasons = []
+    if max_depth is not None:
+        reasons.append(F.when(F.size(F.split("path", "/")) > max_depth, "too deep"))
+    if max_bytes is not None:
+        reasons.append(F.when(F.col("length") > max_bytes, "too large"))
+    kept = kept.withColumn("left_out", F.coalesce(*reasons, F.lit(None).cast("string")))
     if max_files is not None:
-        kept = kept.join(kept.select("path").orderBy("path").limit(max_files), "path", "left_semi")
-    text = F.decode("content", "UTF-8")
-    return kept.select(F.lit(project_id).alias("project_id"), "path", language(F.col("path")).alias("language"), F.col("length").alias("size_bytes"), line_count(text).cast("int").alias("line_count"), content_hash(F.col("content")).alias("content_hash"), F.col("modificationTime").alias("last_modified"), text.alias("content"))
+        first = kept.filter("left_out is null").select("path").orderBy("path").limit(max_files).withColumn("_in", F.lit(True))
+        kept = kept.join(first, "path", "left").withColumn("left_out", F.coalesce("left_out", F.when(F.col("_in").isNull(), "too many"))).drop("_in")
+    raw = F.when(F.col("left_out").isNull(), F.col("content"))
+    text = F.decode(F.col("content"), "UTF-8")
+    kept = kept.withColumn("content", raw)
+    return kept.select(F.lit(project_id).alias("project_id"), "path", language(F.col("path")).alias("language"), F.col("length").alias("size_bytes"), line_count(text).cast("int").alias("line_count"), content_hash(F.col("content")).alias("content_hash"), F.col("modificationTime").alias("last_modified"), text.alias("content"), "left_out")
 
 
 def git_log(spark: SparkSession, path: str) -> DataFrame:
