@@ -62,39 +62,43 @@ def impact(edge: DataFrame, seeds: DataFrame, depth: int = 3, direction: str = "
     return expand(edge, seeds, depth, directed=True)
 
 
-def components(edge: DataFrame, most: int = 64) -> DataFrame:
-    """(id, component): nodes in a strongly connected component of two or more.
-
-    Nodes without an in- or out-edge are trimmed away round by round; then the
-    least label is sent forwards and backwards until nothing changes: within
-    the nodes that share a forward label, those that also reach the label's
-    node backwards are its component, and leave. The driver sees only counts;
-    ``most`` bounds the outer rounds, after which an error is raised.
+def components(edge: DataFrame) -> DataFrame:
+    """(id, component): nodes in a strongly connected component of two or more, and the least id of it.
+
+    Nodes without an in- or out-edge are trimmed away until none is left; then
+    every node gets the label of least priority among those that reach it, and
+    within the nodes of one label those that also reach the label's node
+    backwards are its component, and leave. Priorities are random and new in
+    each round, so the rounds that a chain of components takes grow with the
+    logarithm of its length. The driver sees only counts.
     """
     left = cut(edge.select("src", "dst").filter("src <> dst").distinct())
     found: DataFrame | None = None
-    for _ in range(most):
-        while True:  # trim
-            n = left.count()
-            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if left.count() == n:
-                break
-        if not n:
-            break
-        nodes = cut(left.select(F.col("src").alias("id")).distinct())
-        forward = _least(nodes.withColumn("label", F.col("id")), left)
-        same = left.join(forward.toDF("src", "a"), "src").join(forward.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst", "a")
-        back = _reach(forward.filter("id = label"), same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        done = cut(back)
+    n, turn = left.count(), 0
+    while n:
+        trimmed = cut(_trimmed(_trimmed(_trimmed(_trimmed(left)))))
+        left, before, n = trimmed, n, trimmed.count()
+        if n < before or not n:
+            continue
+        turn += 1
+        nodes = left.select(F.col("src").alias("id")).distinct()
+        forward = _least(nodes.withColumn("label", F.struct(F.xxhash64(F.lit(turn), "id").alias("p"), F.col("id").alias("of"))), left)
+        same = left.join(forward.toDF("src", "a"), "src").join(forward.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
+        done = cut(_reach(forward.filter("id = label.of").select("id", F.col("label.of").alias("label")), cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))))
         found = done if found is None else found.unionByName(done)
         gone = done.select("id")
         left = cut(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    else:
-        raise RuntimeError("components: more rounds than allowed")
+        n = left.count()
     if found is None:
         return nodes_none(edge)
-    sizes = Window.partitionBy("component")
-    return found.toDF("id", "component").withColumn("_n", F.count("*").over(sizes)).filter("_n > 1").drop("_n")
+    sizes = found.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("component")).filter("n > 1").select("label", "component")
+    return found.join(sizes, "label").select("id", "component")
+
+
+def _trimmed(edge: DataFrame) -> DataFrame:
+    """Edges that something leads to and something leads on from."""
+    on = edge.join(edge.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    return on.join(edge.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
 
 def nodes_none(edge: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from corvane.functions.text import search_terms, tokens
 from corvane.functions.vectors import cosine
 from corvane.operators.graph import expand
+from corvane.plans.lineage import cut
 
 #: Most bytes of query vectors that are sent to the executors at once; more are searched in further blocks.
 QUERY_BYTES = 64_000_000
@@ -141,11 +142,13 @@ def bm25_search(queries: list[tuple[str, str]], rows: DataFrame, match: list[str
 
 def graph_search(queries: list[tuple[str, str]], symbols: DataFrame, edge: DataFrame, k: int = 25, hops: int = 3) -> DataFrame:
     """(query, id, score): symbols within ``hops`` edges of the first symbol whose name or qualified name contains the query's text, scored by hop."""
-    seeds = None
-    for name, text in queries:
-        like = F.lower("name").contains(text.lower()) | F.lower("qualified_name").contains(text.lower())
-        one = symbols.filter(like).orderBy(F.length("name"), "name", "id").limit(1).select(F.lit(name).alias("query"), F.col("id").alias("seed"))
-        seeds = one if seeds is None else seeds.unionByName(one)
+    spark = symbols.sparkSession
+    if not queries:
+        return spark.createDataFrame([], f"query string, id {symbols.schema['id'].dataType.simpleString()}, score double")
+    like = lambda text: F.lower("name").contains(text.lower()) | F.lower("qualified_name").contains(text.lower())
+    best = [F.min(F.when(like(text), F.struct(F.length("name").alias("n"), "name", "id"))).alias(f"q{i}") for i, (_, text) in enumerate(queries)]
+    firsts = F.array(*[F.struct(F.lit(name).alias("query"), F.col(f"q{i}.id").alias("seed")) for i, (name, _) in enumerate(queries)])
+    seeds = cut(symbols.agg(*best).select(F.inline(firsts)).filter("seed is not null"))  # one scan for all queries
     found = expand(edge, seeds, hops)
     score = F.coalesce(*[F.when(F.col("hop") == h, F.lit(s)) for h, s in SCORES.items()], F.lit(0.1))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
@@ -153,11 +156,6 @@ def graph_search(queries: list[tuple[str, str]], symbols: DataFrame, edge: DataF
     return scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
-def result_id(df: DataFrame) -> Column:
-    """A result's identity: its id, else qualified name, else a hash of its content."""
-    return F.coalesce(*[F.col(c).cast("string") for c in ("id", "qualified_name") if c in df.columns], *([F.xxhash64("content").cast("string")] if "content" in df.columns else []))
-
-
 def fuse(engines: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = 7, constant: int = 60) -> DataFrame:
     """(query, id, combined_score, engines): weighted reciprocal rank fusion of ranked lists (query, id, score); ties go to the smaller id. Missing and empty engines are fine."""
     weights = weights or WEIGHTS
@@ -213,8 +211,3 @@ def relevant_by_name(results: DataFrame, expected: DataFrame, name: str = "name"
 def averages(per_query: DataFrame) -> DataFrame:
     """Means of an evaluation, three decimals."""
     return per_query.agg(*[F.round(F.avg(c), 3).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")])
-
-
-def cosine_of(df: DataFrame, a: str, b: str) -> DataFrame:
-    """``df`` with the cosine of two vector columns."""
-    return df.withColumn("cosine", cosine(F.col(a), F.col(b)))

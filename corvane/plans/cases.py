@@ -221,6 +221,14 @@ def r5_fusion_rules(t: _Tables) -> DataFrame:
     return retrieval.fuse({"vector": of(("a", 0.9), ("b", 0.8), ("c", 0.7)), "bm25": of(("d", 3.0), ("b", 5.0)), "graph": of(("e", 0.3), ("d", 0.9), ("b", 0.6))}, k=4)
 
 
+@_query(_rows("query, id, score", ("q1", "b", 0.9), ("q1", "c", 0.9), ("q1", "d", 0.6), ("q1", "e", 0.3), ("q2", "b", 0.6), ("q2", "d", 0.9), ("q2", "a", 0.3)))
+def r4_graph_rules(t: _Tables) -> DataFrame:
+    """What stands near the shortest name that contains a text, by steps; a text that none contains gives nothing."""
+    symbols = _frame(t, "id string, name string, qualified_name string", ("a", "CacheX", None), ("z", "long_cache", None), ("b", "x", None), ("c", "y", None), ("d", "w", None), ("e", "v", "M.Queue"), ("f", "u", None))
+    edge = _frame(t, "src string, dst string, kind string", ("a", "b", "calls"), ("c", "a", "calls"), ("b", "d", "calls"), ("d", "e", "calls"), ("e", "d", "uses"), ("f", "f", "calls"))
+    return retrieval.graph_search([("q1", "cache"), ("q2", "queue"), ("q3", "none")], symbols, edge)
+
+
 @_query(_rows("n, name, arity, answer, fresh", (1, "run", 2, "Hello", "true"), (2, "a/b", None, "plain text", "false"), (3, "x/y", 10, None, "false"), (4, "plain", None, None, "false")))
 def x16_scalar_rules(t: _Tables) -> DataFrame:
     """Arities, answers and freshness."""

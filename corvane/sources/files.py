@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,28 @@ def scan(spark: SparkSession, root: str, project_id: str, folders: list[str] | N
     return kept.select(F.lit(project_id).alias("project_id"), "path", language(F.col("path")).alias("language"), F.col("length").alias("size_bytes"), line_count(text).cast("int").alias("line_count"), content_hash(F.col("content")).alias("content_hash"), F.col("modificationTime").alias("last_modified"), text.alias("content"), "left_out")
 
 
+def read_paths(paths: DataFrame, root: str, project_id: str) -> DataFrame:
+    """What :func:`scan` gives, of given paths (path, relative to ``root``) only; the executors read them from the shared file system, and what is gone has no content."""
+    base = root.removeprefix("file://").rstrip("/")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                file = Path(base, name)
+                inside = ".." not in Path(name).parts and not Path(name).is_absolute()
+                found.append((file.read_bytes(), file.stat().st_mtime_ns // 1000) if inside and file.is_file() else (None, None))
+            raw = pa.array([x[0] for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array([x[1] for x in found], pa.timestamp("us", "UTC"))], names=["path", "raw", "last_modified"])
+
+    text = F.decode("raw", "UTF-8")
+    got = paths.select("path").mapInArrow(read, "path string, raw binary, last_modified timestamp")
+    return got.select(
+        F.lit(project_id).alias("project_id"), "path", language(F.col("path")).alias("language"), F.octet_length("raw").cast("bigint").alias("size_bytes"), line_count(text).cast("int").alias("line_count"),
+        content_hash(F.col("raw")).alias("content_hash"), "last_modified", text.alias("content"), F.lit(None).cast("string").alias("left_out"),
+    )
+
+
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """(commit, author, path) of a history written by ``git log --no-merges --name-only --format=%x01%H%x02%ae``."""
     raw = spark.read.option("lineSep", "\x01").text(path).filter(F.trim("value") != "")

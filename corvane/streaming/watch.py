@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.operators.parsers import supported
-from corvane.sources.files import ignored
+from corvane.plans.pipeline import Store, index_files
+from corvane.sources.files import ignored, read_paths
 
 
 def relevant(events: DataFrame) -> DataFrame:
@@ -40,14 +41,43 @@ def batches(indexed: DataFrame, key: str = "path", gap: str = "3 seconds", water
     return windowed.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_distinct(F.transform(rows, lambda r: r["k"])).alias("paths")).drop("session_window")
 
 
-def shed(pending: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) of a micro-batch's pending keys: the ``most`` that came first; an explicit load limit, off unless called."""
-    order = pending.select("*", F.monotonically_increasing_id().alias("_i")).orderBy("ts", "_i").limit(most).drop("_i")
-    return order, pending.exceptAll(order)
+def shed(pending: DataFrame, most: int = 1000, key: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) of a micro-batch's pending keys (distinct), those that came first kept; an explicit load limit, off unless called."""
+    kept = pending.orderBy("ts", key).limit(most)
+    return kept, pending.join(kept.select(key), key, "left_anti")
+
+
+def events_of(spark: SparkSession, folder: str, per_batch: int | None = None) -> DataFrame:
+    """The stream of file events (project_id, path, event, ts) that a watcher leaves as JSON lines in ``folder``; at most ``per_batch`` of its files at a time."""
+    reader = spark.readStream.schema("project_id string, path string, event string, ts timestamp")
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).json(folder)
+
+
+def re_index(events: DataFrame, roots: dict[str, str], store: Store, checkpoint: str, gap: str = "1500 milliseconds", watermark: str = "10 seconds") -> StreamingQuery:
+    """Index what changes: relevant events, one per quiet period of a path, are read again and stored.
+
+    Micro-batches follow each other, so a path that is being indexed is never
+    indexed twice at once; what changes meanwhile is in a later batch. A batch
+    that is run again after a failure finds its files unchanged and stores nothing.
+    """
+    quiet = debounce(relevant(events), ["project_id", "path"], gap, watermark)
+
+    def index(batch: DataFrame, number: int) -> None:
+        paths = batch.select("project_id", "path").distinct().persist()
+        for project, root in roots.items():
+            index_files(read_paths(paths.filter(F.col("project_id") == project).select("path"), root, project), store, whole=False)
+        paths.unpersist()
+
+    return quiet.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def publish(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Leave each batch's updated paths as JSON lines in ``folder``, written by the executors, for any number of subscribers to follow."""
+    return stream.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def notify(stream: DataFrame, subscriber: Callable[[list[str]], None], checkpoint: str) -> StreamingQuery:
-    """Call ``subscriber`` with each batch's updated paths, row by row."""
+    """Call ``subscriber`` on the driver with the paths of each batch, a partition at a time; for many subscribers see :func:`publish`."""
 
     def send(batch: DataFrame, _: int) -> None:
         for row in batch.toLocalIterator():
