@@ -20,6 +20,7 @@ that both keep (prefix filtering), so nothing is lost.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,9 +109,14 @@ def overlap(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> flo
     return both / (wa.sum() + wb.sum() - both)
 
 
-def _slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of parts of a batch of bounded size."""
-    texts, begin, held = batch.column(text).to_pylist(), 0, 0
+def _unpacked(column: pa.Array) -> list[str]:
+    """Texts that were packed one by one, so that less is written and shuffled."""
+    return [zlib.decompress(x).decode() for x in column.to_pylist()]
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) of parts of bounded size."""
+    begin, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
         if held > _BATCH or i + 1 == len(texts):
@@ -131,7 +137,7 @@ def near_records(records: DataFrame, key: str | list[str] = "id", text: str = "c
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in _slices(batch, 1):
+            for begin, texts in _slices(batch.column(1).to_pylist()):
                 record, h, weight = bags(texts, shingle, weighted)
                 n = len(texts)
                 held = np.bincount(record, minlength=n) > 0
@@ -142,11 +148,12 @@ def near_records(records: DataFrame, key: str | list[str] = "id", text: str = "c
                 table = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(band) + 1, BANDS), pa.int32()), pa.array(band.reshape(-1)))
                 of = pa.StructArray.from_arrays([pa.array(mix(x)[held].view(np.int64)) for x in total], ["a", "b"])
                 own = batch.slice(begin, n).filter(pa.array(held))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), of, table], names=["text", "value", "bag", "bands"])
+                packed = pa.array([zlib.compress(t.encode(), 1) for t in own.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(0), packed, of, table], names=["text", "value", "bag", "bands"])
 
     hashed = records.withColumn("_text", F.when(F.length(text) >= 2 * shingle - 1, hash128(F.col(text))))
     distinct = hashed.filter("_text is not null").groupBy(F.col("_text").alias("text")).agg(F.first(text).alias("value"))
-    signed = distinct.mapInArrow(sign, f"text {_HASH}, value string, bag {_HASH}, bands array<bigint>")
+    signed = distinct.mapInArrow(sign, f"text {_HASH}, value binary, bag {_HASH}, bands array<bigint>")
     signed = cut(signed.withColumn("number", F.monotonically_increasing_id()))  # fixed by being written
     named = cut(signed.select("text", "number", "bag").join(signed.groupBy("bag").agg(F.min("number").alias("class")), "bag").select("text", "number", "class"))
     others = named.filter("number <> class").select("number")
@@ -156,14 +163,14 @@ def near_records(records: DataFrame, key: str | list[str] = "id", text: str = "c
     met = pairs.sharing(banded, "band", "class", sizes=sizes.filter(F.col("n") <= HOT))
     crowd = banded.join(sizes.filter(F.col("n") > HOT).select("band"), "band").select("class").distinct().join(classes.select("class", "value"), "class")
     met = met.unionByName(_by_rare_shingles(crowd, shingle, least, weighted)).distinct()
-    texts = classes.select("class", "value")
+    texts = signed.select(F.col("number").alias("class"), "value")
     both = met.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             places: dict[str, int] = {}
-            at = [[places.setdefault(t, len(places)) for t in batch.column(c).to_pylist()] for c in ("text_a", "text_b")]
+            at = [[places.setdefault(t, len(places)) for t in _unpacked(batch.column(c))] for c in ("text_a", "text_b")]
             record, h, weight = bags(list(places), shingle, weighted) if n else (np.zeros(0, int),) * 3
             edge = np.searchsorted(record, np.arange(len(places) + 1))
             value = np.array([overlap(h[edge[a] : edge[a + 1]], weight[edge[a] : edge[a + 1]], h[edge[b] : edge[b + 1]], weight[edge[b] : edge[b + 1]]) for a, b in zip(*at, strict=True)])
@@ -180,7 +187,7 @@ def _by_rare_shingles(classes: DataFrame, shingle: int, least: float, weighted:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in _slices(batch, 1):
+            for begin, texts in _slices(_unpacked(batch.column(1))):
                 record, h, weight = bags(texts, shingle, weighted)
                 time = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 h, record = mix(np.repeat(h, weight) + time.astype(np.uint64)), np.repeat(record, weight)
