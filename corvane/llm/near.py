@@ -156,14 +156,14 @@ def near_records(records: DataFrame, key: str | list[str] = "id", text: str = "c
     signed = distinct.mapInArrow(sign, f"text {_HASH}, value binary, bag {_HASH}, bands array<bigint>")
     signed = cut(signed.withColumn("number", F.monotonically_increasing_id()))  # fixed by being written
     named = cut(signed.select("text", "number", "bag").join(signed.groupBy("bag").agg(F.min("number").alias("class")), "bag").select("text", "number", "class"))
-    others = named.filter("number <> class").select("number")
+    others = cut(named.filter("number <> class").select("number"))  # written, so that its size is known and bands move only if it is large
     classes = signed.join(others, "number", "left_anti").withColumnRenamed("number", "class")
     banded = classes.select("class", F.explode("bands").alias("band"))
     sizes = cut(pairs.sized(banded, "band"))
     met = pairs.sharing(banded, "band", "class", sizes=sizes.filter(F.col("n") <= HOT))
-    crowd = banded.join(sizes.filter(F.col("n") > HOT).select("band"), "band").select("class").distinct().join(classes.select("class", "value"), "class")
-    met = met.unionByName(_by_rare_shingles(crowd, shingle, least, weighted)).distinct()
     texts = signed.select(F.col("number").alias("class"), "value")
+    crowd = cut(banded.join(sizes.filter(F.col("n") > HOT).select("band"), "band").select("class").distinct()).join(texts, "class")
+    met = met.unionByName(_by_rare_shingles(crowd, shingle, least, weighted)).distinct()
     both = met.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def near_pairs(records: DataFrame, key: str = "id", text: str = "content", shing
     """(id_a, id_b), id_a < id_b: every pair of near-duplicate records, those with equal bags included; if ``within`` is given, a first column of that name, the same in both records. Keys are unique within it."""
     members, links = near_records(records, [within, key] if within else key, text, shingle, least, weighted)
     own = [within] if within else []
-    members = members.select(*own, F.col(key).alias("_k"), "class")
+    members = cut(members.select(*own, F.col(key).alias("_k"), "class"))
     x, y = members.toDF(*own, "x", "class_a"), members.toDF(*own, "y", "class_b")
     different = links.join(x, "class_a").join(y, ["class_b", *own]).select(*own, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     equal = members.toDF(*own, "id_a", "class").join(members.toDF(*own, "id_b", "class"), ["class", *own]).filter("id_a < id_b").select(*own, "id_a", "id_b")
