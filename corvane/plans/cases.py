@@ -229,6 +229,29 @@ def r4_graph_rules(t: _Tables) -> DataFrame:
     return retrieval.graph_search([("q1", "cache"), ("q2", "queue"), ("q3", "none")], symbols, edge)
 
 
+_RESULTS = [("q1", "a", 1), ("q1", "b", 2), ("q1", "c", 3), ("q1", "d", 6), ("q2", "x", 1), ("q2", "y", 2)]
+_JUDGED = [("q1", "b"), ("q1", "d"), ("q1", "z"), ("q3", "m")]
+
+
+@_query(_rows("query, precision_at_k, recall_at_k, mrr", ("q1", 0.2, 0.333333, 0.5), ("q2", 0.0, 0.0, 0.0), ("q3", 0.0, 0.0, 0.0)))
+def r12_evaluation_rules(t: _Tables) -> DataFrame:
+    """A query with hits below and above the cut, one without relevant results, one without results."""
+    per = retrieval.evaluate(_frame(t, "query string, id string, rank int", *_RESULTS), _frame(t, "query string, id string", *_JUDGED))
+    return per.select("query", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")])
+
+
+@_query("SELECT 0.067 AS precision_at_k, 0.111 AS recall_at_k, 0.167 AS mrr")
+def a13_averages(t: _Tables) -> DataFrame:
+    """Their means, three decimals."""
+    return retrieval.averages(retrieval.evaluate(_frame(t, "query string, id string, rank int", *_RESULTS), _frame(t, "query string, id string", *_JUDGED)))
+
+
+@_query(_rows("project_id, namespace, symbols", ("p", "App", 2), ("p", "Lib", 1), ("q", "App", 1)))
+def g10_namespace_rules(t: _Tables) -> DataFrame:
+    """Symbols by the first part of their names."""
+    return graph.module_tree(_frame(t, "project_id string, qualified_name string", ("p", "App.A"), ("p", "App"), ("p", "Lib.x.y"), ("q", "App.z"), ("q", None)))
+
+
 @_query(_rows("n, name, arity, answer, fresh", (1, "run", 2, "Hello", "true"), (2, "a/b", None, "plain text", "false"), (3, "x/y", 10, None, "false"), (4, "plain", None, None, "false")))
 def x16_scalar_rules(t: _Tables) -> DataFrame:
     """Arities, answers and freshness."""

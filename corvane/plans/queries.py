@@ -117,10 +117,13 @@ def c6_plain_windows(t: _Tables) -> DataFrame:
     return chunking.plain_windows(t.raw("documents").select("doc_id", F.col("text").alias("content")))
 
 
-@_query()
+@_query(
+    "WITH s AS (SELECT id, content, string_split(content, chr(10)) AS l FROM " + S.last("symbols") + " WHERE length(content) > 0) SELECT id, 0 AS chunk_index, content, 1 AS first, CAST(len(l) AS INTEGER) AS last, CAST(floor(length(content) / 4) AS INTEGER) AS token_count FROM s WHERE floor(length(content) / 4) <= 512 "
+    "UNION ALL SELECT id, CAST(o / 41 AS INTEGER), c, CAST(o + 1 AS INTEGER), CAST(o + 51 AS INTEGER), CAST(floor(length(c) / 4) AS INTEGER) FROM (SELECT id, o, array_to_string(list_slice(l, o + 1, o + 51), chr(10)) AS c FROM (SELECT id, l, CAST(unnest(generate_series(0, len(l) - 51, 41)) AS INTEGER) AS o FROM s WHERE floor(length(content) / 4) > 512 AND len(l) >= 51))"
+)
 def c3_symbol_chunks(t: _Tables) -> DataFrame:
     """Chunks of symbols."""
-    return chunking.symbol_chunks(t.symbols.select("id", "content"))
+    return chunking.symbol_chunks(t.symbols.select("id", "content")).select("id", "chunk_index", "content", "first", "last", "token_count")
 
 
 @_query("SELECT id, CASE WHEN size_bytes IS NULL THEN '0 B' WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024) WHEN size_bytes < 1073741824 THEN printf('%.1f MB', size_bytes / 1048576) ELSE printf('%.1f GB', size_bytes / 1073741824) END AS size FROM " + S.last("files"))
@@ -593,31 +596,63 @@ def st3_batches(t: _Tables) -> DataFrame:
 # Tools
 
 
-@_query()
+_FIRST = "(SELECT id FROM " + S.last("symbols") + " WHERE contains(lower(qualified_name), 'cache') OR contains(lower(name), 'cache') ORDER BY CASE WHEN qualified_name = 'cache' OR name = 'cache' THEN 1 ELSE 2 END, length(qualified_name) NULLS FIRST, id LIMIT {n})"
+
+
+@_query("SELECT h.query, h.rank, h.id, h.combined_score, h.engines, s.name, s.kind, f.path, replace(substring(s.content, 1, 200), chr(10), ' ') AS preview FROM (" + S.hybrid(TEXTS, 20, 5) + ") h JOIN " + S.last("symbols") + " s ON s.id = h.id LEFT JOIN " + S.last("files") + " f ON f.id = s.file_id")
 def tool_search(t: _Tables) -> DataFrame:
     """The search tool for all texts."""
     return tools.search(TEXTS, _text_vectors(t), t.symbols, t.files, _symbol_edges(t))
 
 
-@_query()
+@_query(
+    "WITH s AS " + S.last("symbols") + ", f AS " + S.last("files") + ", e AS " + S.edges("symbol", False) + ", m AS " + _FIRST.format(n=10) + ", one AS " + _FIRST.format(n=1) + ", "
+    "near AS (SELECT 'callers' AS role, src AS id FROM e WHERE dst IN (SELECT id FROM one) UNION ALL SELECT 'callees', dst FROM e WHERE src IN (SELECT id FROM one)), "
+    "r AS (SELECT role, s.id, name, qualified_name, kind, f.path, line_start, row_number() OVER (PARTITION BY role ORDER BY qualified_name NULLS FIRST, s.id) AS n FROM near JOIN s ON s.id = near.id JOIN f ON f.id = s.file_id) "
+    "SELECT 'match' AS role, s.id, name, qualified_name, kind, f.path, line_start FROM s JOIN m ON m.id = s.id LEFT JOIN f ON f.id = s.file_id UNION ALL SELECT * EXCLUDE (n) FROM r WHERE n <= 20"
+)
 def tool_symbol(t: _Tables) -> DataFrame:
     """The symbol tool."""
     return tools.symbol("cache", t.symbols, t.files, _symbol_edges(t))
 
 
-@_query()
+@_query(
+    "WITH RECURSIVE e AS " + S.edges("symbol", False) + ", r(seed, id, hop) AS (SELECT o.id, e.dst, 1 FROM " + _FIRST.format(n=1) + " o JOIN e ON e.src = o.id UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.id WHERE r.hop < 3) "
+    "SELECT CAST(h.hop AS INTEGER) AS hop, s.id, s.name, s.qualified_name, f.path FROM (SELECT id, min(hop) AS hop FROM r WHERE id <> seed GROUP BY id) h JOIN " + S.last("symbols") + " s ON s.id = h.id LEFT JOIN " + S.last("files") + " f ON f.id = s.file_id"
+)
 def tool_impact(t: _Tables) -> DataFrame:
     """The impact tool."""
     return tools.impact_of("cache", t.symbols, t.files, _symbol_edges(t))
 
 
-@_query()
+@_query("SELECT h.rank, h.id, s.name, s.kind, s.signature, f.path, replace(substring(s.content, 1, 800), chr(10), ' ') AS preview FROM (" + S.hybrid([("q1", "cache")], 24, 8) + ") h JOIN " + S.last("symbols") + " s ON s.id = h.id LEFT JOIN " + S.last("files") + " f ON f.id = s.file_id")
 def tool_context(t: _Tables) -> DataFrame:
     """The context tool."""
     vector = _text_vectors(t).filter("query = 'q1'").withColumn("query", F.lit("task"))
     return tools.context("cache", vector, t.symbols, t.files, _symbol_edges(t))
 
 
+@_query("SELECT project_id, path, language, line_count, coalesce(risk_score, 0) > 10 AS risky FROM " + S.last("files"))
+def tool_files(t: _Tables) -> DataFrame:
+    """The files tool."""
+    return tools.list_files(t.files)
+
+
+@_query(
+    "SELECT f.id AS file_id, f.path, f.language, f.line_count, f.risk_score, coalesce(len(f.git_authors), 0) AS authors, m.afferent, m.efferent, m.instability, m.debt FROM " + S.last("files") + " f JOIN " + S.COUPLING + " m ON m.file_id = f.id WHERE f.path = (SELECT min(path) FROM files)"
+)
+def tool_audit(t: _Tables) -> DataFrame:
+    """The audit tool, for the first path."""
+    first = t.raw("files").agg(F.min("path").alias("p")).first().p
+    return tools.audit(t.symbols, t.files, _coupling(t), first)
+
+
+@_query("SELECT id, project_id, path, content FROM (SELECT c.id, c.project_id, f.path, c.content FROM " + S.last("chunks") + " c JOIN " + S.last("files") + " f ON f.id = c.file_id)")
+def j1_chunks_with_files(t: _Tables) -> DataFrame:
+    """Chunks with the path of their file."""
+    return t.chunks.select("id", "project_id", "content", "file_id").join(t.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "project_id", "path", "content")
+
+
 def queries() -> dict[str, Query]:
     """Every registered query."""
     from corvane.plans import cases  # noqa: F401  (registers its queries)
