@@ -42,9 +42,9 @@ def batches(indexed: DataFrame, key: str = "path", gap: str = "3 seconds", water
 
 
 def shed(pending: DataFrame, most: int = 1000, key: str = "path") -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) of a micro-batch's pending keys (distinct), those that came first kept; an explicit load limit, off unless called."""
+    """(kept, dropped) of a micro-batch's pending rows, those that came first kept; an explicit load limit, off unless called."""
     kept = pending.orderBy("ts", key).limit(most)
-    return kept, pending.join(kept.select(key), key, "left_anti")
+    return kept, pending.exceptAll(kept)
 
 
 def events_of(spark: SparkSession, folder: str, per_batch: int | None = None) -> DataFrame:
