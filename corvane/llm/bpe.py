@@ -79,6 +79,27 @@ def cutter() -> Callable[[str], list[str]]:
     return cut
 
 
+class Words(dict[str, int]):
+    """Ids of the words that are tokens; any other word of at most ``LONG`` bytes gets -1 - its place among ``new`` when it is first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__((t, r) for k, r in ranks.items() if (t := k.decode("utf-8", "ignore")) and t.encode() == k)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > LONG or len(word.encode()) > LONG:
+            raise KeyError(word)
+        self.new.append(word)
+        place = self[word] = -len(self.new)
+        return place
+
+    def forget(self) -> None:
+        """Leave only the tokens."""
+        for word in self.new:
+            del self[word]
+        self.new = []
+
+
 class LiteralMap:
     """A constant map from the tokens to their ranks, usable inside lambdas.
 
@@ -122,9 +143,9 @@ class LiteralMap:
         mask = F.lit(self.mask)
 
         def look_up(table: Column, key: Column) -> Column:
-            h = F.xxhash64(key)
-            one, two = (F.get(table["slots"], x.bitwiseAND(mask).cast("int")) for x in (h, F.shiftrightunsigned(h, 32)))
-            return F.when(F.get(table["tokens"], one) == key, one).when(F.get(table["tokens"], two) == key, two)
+            slot = lambda h: F.get(table["slots"], h.bitwiseAND(mask).cast("int"))
+            mine = lambda k, h: F.filter(F.array(slot(h), slot(F.shiftrightunsigned(h, 32))), lambda r: F.get(table["tokens"], r) == k)
+            return _let(key, lambda k: _let(F.xxhash64(k), lambda h: F.get(mine(k, h), F.lit(0))))
 
         return _let(self.col, lambda table: body(lambda key: look_up(table, key)))
 
@@ -197,30 +218,28 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     token is ordinary text; rows are kept as they are, repeated keys too.
     """
     rank = LiteralMap({k.decode("latin-1"): v for k, v in ranks_of(vocabulary).items()})
-    kind, key_arrow, long = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType), LONG
+    kind, key_arrow = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per batch of documents: their keys, the number of words of each, every word's rank or -1 - its place among ``words``."""
         cut, ranks = cutter(), ranks_of(vocabulary)
-        known = {t: r for k, r in ranks.items() if (t := k.decode("utf-8", "ignore")) and t.encode() == k}
+        known = Words(ranks)
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(key_arrow)), pa.array([sizes.tobytes()]), pa.array([codes.tobytes()]), pa.array([list(places)], pa.list_(pa.string()))], names=["keys", "sizes", "codes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(key_arrow)), pa.array([sizes.tobytes()]), pa.array([codes.tobytes()]), pa.array([known.new], pa.list_(pa.string()))], names=["keys", "sizes", "codes", "words"])
 
-        keys, sizes, codes, places, held = [], array("i"), array("i"), {}, 0
+        keys, sizes, codes, held = [], array("i"), array("i"), 0
         for rows in batches:
             for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 begin = len(codes)
                 words = cut(t or "")
                 try:
                     codes.extend(map(known.__getitem__, words))
-                except KeyError:
+                except KeyError:  # a long word is among them
                     del codes[begin:]
                     for w in words:
-                        if (r := known.get(w)) is not None:
-                            codes.append(r)
-                        elif len(w) <= long and len(w.encode()) <= long:
-                            codes.append(-1 - places.setdefault(w, len(places)))
+                        if len(w) <= LONG and len(w.encode()) <= LONG or w in known:
+                            codes.append(known[w])
                         else:
                             codes.extend(heap_merges(w.encode(), ranks))
                 keys.append(k)
@@ -228,7 +247,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                 held += len(t or "")
                 if held >= batch:
                     yield row()
-                    keys, sizes, codes, places, held = [], array("i"), array("i"), {}, 0
+                    known.forget()
+                    keys, sizes, codes, held = [], array("i"), array("i"), 0
         if keys:
             yield row()
 
