@@ -42,10 +42,11 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int = 25, vector: str
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     out = None
     for b in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
-        if not block:
+        block = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toArrow()  # at most about QUERY_BYTES
+        if not block.num_rows:
             continue
-        sent = spark.sparkContext.broadcast(([r.query for r in block], np.array([r.vector for r in block])))
+        vectors = np.asarray(block.column("vector").combine_chunks().flatten()).reshape(-1, size)
+        sent = spark.sparkContext.broadcast((block.column("query").to_pylist(), vectors))
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
