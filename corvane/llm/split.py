@@ -108,3 +108,24 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     out = wide.mapInPandas(cut, "chunk_id string, file_id string, piece int, pieces int, content string, line_start int, line_end int, chunk_index int, token_count int")
     gained = Window.partitionBy("file_id").orderBy("chunk_index", "chunk_id", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return out.withColumn("chunk_index", (F.col("chunk_index") + F.sum((F.col("piece") > 0).cast("int")).over(gained)).cast("int"))
+
+
+def with_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """All chunks, those over ``limit`` as their pieces: chunk_id, file_id, content, line_start, chunk_index, token_count.
+
+    ``chunk_index`` is numbered on within each file, so that pieces and the
+    chunks after them keep apart; the rest is as in :func:`split_oversized`,
+    and chunks that fit keep their line_start and token_count. Null and empty
+    contents count as fitting.
+    """
+    pieces = split_oversized(chunks, limit, overlap)
+    order = [c for c in ("updated_at", "inserted_at") if c in chunks.columns]
+    own = latest(chunks.select("id", "file_id", "content", "line_start", "chunk_index", "token_count", *order), ["id"], order).drop(*order)
+    gained = pieces.groupBy("chunk_id").agg((F.first("pieces") - 1).alias("more"))
+    sized = own.select(F.col("id").alias("chunk_id"), "file_id", "chunk_index").join(gained, "chunk_id", "left")
+    before = Window.partitionBy("file_id").orderBy("chunk_index", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sized.select("chunk_id", (F.col("chunk_index") + F.coalesce(F.sum(F.coalesce("more", F.lit(0))).over(before), F.lit(0))).cast("int").alias("at"))
+    fits = own.filter(F.coalesce(F.length("content"), F.lit(0)) <= limit).withColumnRenamed("id", "chunk_id").join(moved, "chunk_id")
+    cut = pieces.join(moved, "chunk_id").withColumn("at", F.col("at") + F.col("piece"))
+    columns = ["chunk_id", "file_id", "content", "line_start", F.col("at").cast("int").alias("chunk_index"), F.col("token_count").cast("int").alias("token_count")]
+    return fits.select(columns).unionByName(cut.select(columns))

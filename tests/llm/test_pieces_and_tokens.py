@@ -45,6 +45,14 @@ def test_split_frame(spark):
     assert split.split_oversized(df.unionByName(later)).filter("chunk_id = 'a'").count() == 0
 
 
+def test_pieces_among_their_chunks(spark):
+    rows = [("a", "f", "x" * 3000, 1, 0), ("b", "f", "short", 9, 1), ("c", "f", "y" * 5000, 12, 2), ("d", "f", None, None, 3), ("e", "g", "z", 1, 0)]
+    df = spark.createDataFrame(rows, "id string, file_id string, content string, line_start int, chunk_index int").withColumn("token_count", F.lit(7))
+    got = sorted((r.file_id, r.chunk_index, r.chunk_id) for r in split.with_pieces(df.unionByName(df.limit(2))).collect())
+    assert got == [("f", 0, "a"), ("f", 1, "a"), ("f", 2, "b"), ("f", 3, "c"), ("f", 4, "c"), ("f", 5, "c"), ("f", 6, "d"), ("g", 0, "e")]
+    assert split.with_pieces(df.limit(0)).count() == 0
+
+
 TEXTS = ["", None, " ", "Hello world", "don't  stop\n\n  now\t", "naïve café 日本語 🎉👩‍👩‍👧 <|endoftext|>", "á ​ x　y\x00\x85z᠎", "x" * 500, "ab" * 200 + "é" * 90, "1234567890 12,5 ½²Ⅷ", "\r\n\r\n  \r", "Ünïcödé’s it's I'LL we'll"]
 
 
