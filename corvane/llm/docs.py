@@ -15,9 +15,11 @@ code.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,12 +66,8 @@ def stripped(raw: str) -> list[str]:
     return lines
 
 
-def meaningful(raw: str | None, name: str | None, parameters: set[str] = frozenset()) -> str | None:
-    """The documentation that ``raw`` holds, without its marks, or None if it says nothing.
-
-    It must say something beyond the function's name, bare parameter names, a
-    reference elsewhere and placeholders. Rulers, directives and commented-out code say nothing.
-    """
+def _read(raw: str | None) -> tuple[str, list[tuple[str, set[str]]]] | None:
+    """(text without marks, (token, its words that say something)) of what may be documentation, or None if it is none of any function."""
     if not raw or not raw.strip() or re.match(r"\s*@(?:module|type)?doc\s+(?:false|nil)\b", raw):
         return None
     kept, said = [], []
@@ -88,15 +86,32 @@ def meaningful(raw: str | None, name: str | None, parameters: set[str] = frozens
     plain = re.sub(r"\s+", " ", text).strip(" \t\"'`*_-=.:!#")
     if not plain or PLACEHOLDERS.fullmatch(plain):
         return None
-    text = _REFERENCE.sub(" ", text)
-    known = parts_of_name(name) | {(name or "").lower()} | _SAYS_NOTHING
-    own = {p.lower() for p in parameters}
-    words = []
-    for token in re.findall(r"[\w$]+(?:['’]\w+)?", text):
-        if token.lower() in own or token == name:
-            continue
-        words += [p for p in (parts_of_name(token) if "_" in token or not token.islower() else {token.lower()}) if p not in known and not p.isdigit()]
-    return "\n".join(kept).strip() if words else None
+    tokens = []
+    for token in re.findall(r"[\w$]+(?:['’]\w+)?", _REFERENCE.sub(" ", text)):
+        words = {p for p in (parts_of_name(token) if "_" in token or not token.islower() else {token.lower()}) if p not in _SAYS_NOTHING and not p.isdigit()}
+        if words:
+            tokens.append((token, words))
+    return ("\n".join(kept).strip(), tokens) if tokens else None
+
+
+def _known(name: str | None, parameters: set[str]) -> tuple[str | None, set[str], set[str]]:
+    """(name, its words, parameters in lower case): what documentation of a function must go beyond."""
+    return name, parts_of_name(name) | {(name or "").lower()}, {p.lower() for p in parameters}
+
+
+def _says(tokens: list[tuple[str, set[str]]], known: tuple[str | None, set[str], set[str]]) -> bool:
+    name, words, own = known
+    return any(token.lower() not in own and token != name and not said <= words for token, said in tokens)
+
+
+def meaningful(raw: str | None, name: str | None, parameters: set[str] = frozenset()) -> str | None:
+    """The documentation that ``raw`` holds, without its marks, or None if it says nothing.
+
+    It must say something beyond the function's name, bare parameter names, a
+    reference elsewhere and placeholders. Rulers, directives and commented-out code say nothing.
+    """
+    read = _read(raw)
+    return read[0] if read and _says(read[1], _known(name, parameters)) else None
 
 
 def _comment_end(lines: list[str], i: int) -> int | None:
@@ -174,111 +189,141 @@ def comments_and_functions(content: str, name: str | None, signature: str | None
 
 
 def assigned(score: list[list[float]]) -> list[int]:
-    """For each row the column of a bipartite assignment of greatest total score, -1 for none; scores of 0 or less are no links (shortest augmenting paths)."""
-    n, m = len(score), len(score[0]) if score else 0
-    size = n + m  # every row may also stay alone
-    inf = float("inf")
-    u, v, match = [0.0] * (n + 1), [0.0] * (size + 1), [0] * (size + 1)
-    cost = lambda i, j: -max(0.0, score[i - 1][j - 1]) if j <= m else 0.0
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, way, used = [inf] * (size + 1), [0] * (size + 1), [False] * (size + 1)
+    """For each row the column of a bipartite assignment of greatest total score, -1 for none; scores of 0 or less are no links."""
+    return _assigned(lambda i: np.array(score[i], float), len(score), len(score[0]) if score else 0)
+
+
+def _assigned(row: Callable[[int], np.ndarray], n: int, m: int) -> list[int]:
+    """:func:`assigned` of ``n`` rows to ``m`` columns where ``row(i)`` makes the scores of a row (shortest augmenting paths)."""
+    taken, holder = [-1] * n, [-1] * m  # a row's column, a column's row
+    gain, price = [0.0] * n, np.zeros(m)  # no score is above the sum of its row's gain and its column's price; it is that sum where assigned
+    for first in range(n if m else 0):
+        reach = price - row(first)
+        j = int(np.argmin(reach))
+        if reach[j] >= 0:
+            continue
+        if holder[j] < 0:
+            taken[first], holder[j], gain[first] = j, first, -float(reach[j])
+            continue
+        # The column is taken: the cheapest chain of moves that ends at a free column, or leaves one of the rows alone.
+        way, fresh, waiting = np.full(m, first), np.ones(m, bool), reach.copy()
+        end, alone, met = 0.0, first, []
+        while waiting[j := int(np.argmin(waiting))] < end:
+            at, i = float(waiting[j]), holder[j]
+            fresh[j], waiting[j] = False, np.inf
+            if i < 0:
+                end, alone = at, -1
+                break
+            met.append((j, i))
+            if at + gain[i] < end:
+                end, alone = at + gain[i], i
+            cost = price - row(i)
+            cost += at + gain[i]
+            better = cost < reach
+            better &= fresh
+            for old in (reach, waiting):
+                np.copyto(old, cost, where=better)
+            way[better] = i
+        for c, i in met:
+            more = end - float(reach[c])
+            if more > 0:
+                price[c] += more
+                gain[i] -= more
+        gain[first] = -end
+        if alone == first:
+            continue
+        if alone >= 0:
+            j, taken[alone] = taken[alone], -1
         while True:
-            used[j0], i0, delta, j1 = True, match[j0], inf, 0
-            for j in range(1, size + 1):
-                if not used[j]:
-                    c = cost(i0, j) - u[i0] - v[j]
-                    if c < least[j]:
-                        least[j], way[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(size + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-            if not match[j0]:
+            i = int(way[j])
+            holder[j], taken[i], j = i, j, taken[i]
+            if i == first:
                 break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    out = [-1] * n
-    for j in range(1, m + 1):
-        if match[j] and score[match[j] - 1][j - 1] > 0:
-            out[match[j] - 1] = j - 1
-    return out
+    return taken
+
+
+class _Links:
+    """Every plausible link of a record's comments: called with a comment's number, the scores of all functions, -1 where there is none. They are made when asked for, so memory grows with functions and comments, not with their pairs."""
+
+    def __init__(self, lines: list[str], comments: list[tuple[int, int, str]], functions: list[tuple[int, str, str, bool]]):
+        at = [f[0] for f in functions]
+        self.at = np.array(at, int)
+        names = [parameters_of(f[2]) for f in functions]
+        having: dict[str, list[int]] = {}
+        for i, own in enumerate(names):
+            for n in own:
+                having.setdefault(n, []).append(i)
+        fitting: dict[frozenset[str], tuple[np.ndarray, list[int]]] = {}  # the functions that have all parameters that some tags name
+        self.held: list[tuple[int, np.ndarray | None, list[int], dict[int, float]]] = []
+        for begin, end, text in comments:
+            tagged = frozenset(_PARAMETER.findall(text))
+            close, near = bisect_left(at, -end - 1 if end < 0 else end), 0.0
+            if end < 0:
+                near = 3.0  # opens the body of the function on that line
+            elif close < len(at) and all(_annotation(x.strip()) or _DIRECTIVE.search(x) for x in lines[end : at[close]]):
+                near = 2.0
+            inside = bisect_right(at, begin) - 1
+            given = {inside: -1.0} if inside >= 0 and at[inside] < begin else {}  # else it stands in that function's own body
+            if near:
+                both = len(tagged & names[close]) / len(tagged) if tagged else 0.0
+                strange = 1.75 if tagged and names[close] and not both else 0.0
+                given[close] = near + both + 0.5 * (bool(functions[close][1]) and functions[close][1] in text) - strange
+            if tagged and tagged not in fitting:
+                fits = [i for i in min((having.get(t, []) for t in tagged), key=len) if tagged <= names[i]]
+                fitting[tagged] = np.isin(np.arange(len(at)), fits), fits
+            far, fits = fitting[tagged] if tagged else (None, [])
+            self.held.append((begin, far if fits else None, [i for i in fits if functions[i][1] and functions[i][1] in text], given))
+
+    def __call__(self, c: int) -> np.ndarray:
+        begin, far, named, given = self.held[c]
+        scores = np.full(len(self.at), -1.0) if far is None else np.where(far, 1 / (2 + np.abs(self.at - begin)) + 1.0, -1.0)
+        if named:
+            scores[named] += 0.5
+        for i, score in given.items():
+            scores[i] = score
+        return scores
 
 
 def scored_links(lines: list[str], comments: list[tuple[int, int, str]], functions: list[tuple[int, str, str, bool]]) -> dict[tuple[int, int], float]:
-    """The score of every plausible link of a function and a comment, by their numbers. A comment has at most four: the body it opens, the function it stands before, and the nearest on each side that has all parameters its tags name."""
-    at = [f[0] for f in functions]
-    names = [parameters_of(f[2]) for f in functions]
-    having: dict[str, list[int]] = {}
-    for i, own in enumerate(names):
-        for n in own:
-            having.setdefault(n, []).append(i)
-    score: dict[tuple[int, int], float] = {}
-    for c, (begin, end, text) in enumerate(comments):
-        tagged = set(_PARAMETER.findall(text))
-        close = bisect_left(at, -end - 1 if end < 0 else end)
-        near = {}
-        if end < 0:
-            near[close] = 3.0  # opens the body of the function on that line
-        elif close < len(at) and all(_annotation(x.strip()) or _DIRECTIVE.search(x) for x in lines[end : at[close]]):
-            near[close] = 2.0
-        if tagged and (rarest := min((having.get(t, []) for t in tagged), key=len)):
-            fits = [i for i in rarest if tagged <= names[i]]
-            here = bisect_left(fits, bisect_left(at, begin))
-            for i in fits[max(0, here - 1) : here + 1]:
-                if at[i] >= begin or i + 1 < len(at) and at[i + 1] <= begin:  # else it stands in that function's own body
-                    near.setdefault(i, 1 / (2 + abs(at[i] - begin)))
-        for i, distance in near.items():
-            both = len(tagged & names[i]) / len(tagged) if tagged else 0.0
-            strange = 1.75 if tagged and names[i] and not both else 0.0
-            score[i, c] = distance + both + 0.5 * (bool(functions[i][1]) and functions[i][1] in text) - strange
-    return score
+    """The score of every plausible link of a function and a comment, by their numbers: with the function whose body it opens or before which it stands, and with all functions, at any distance, that have all parameters its tags name."""
+    of = _Links(lines, comments, functions)
+    return {(i, c): s for c in range(len(comments)) for i, s in enumerate(of(c).tolist()) if s > 0}
 
 
 def links(content: str, name: str | None, signature: str | None, docstring: str | None = None) -> list[tuple[str, str, str | None, str]]:
     """(name, signature, documentation or None, docstring or content) of every function of a record that has documentation or is its own, the own first."""
     comments, functions = comments_and_functions(content, name, signature)
+    plausible, n = _Links(content.replace("\r\n", "\n").replace("\r", "\n").split("\n"), comments, functions), len(functions)
     own = next((i for i, f in enumerate(functions) if f[3]), -1)
     if own < 0:  # its signature is not in its content: only the docstring can be its own
-        own, functions = len(functions), [*functions, (1 << 60, name or "", signature or "", True)]
-    score = scored_links(content.replace("\r\n", "\n").replace("\r", "\n").split("\n"), comments, functions)
-    score = {k: v for k, v in score.items() if functions[k[0]][0] < 1 << 60 and v > 0}
-    if docstring:
-        score[own, len(comments)] = 4.0
-        comments = [*comments, (0, 0, docstring)]
-    said: dict[tuple[int, int], str] = {}
-    for i, c in score:
-        signed = signature if i == own and signature else functions[i][2]
-        if (text := meaningful(comments[c][2], name if i == own else functions[i][1], parameters_of(signed))) is not None:
-            said[i, c] = text
-    chosen: dict[int, int] = {}
-    for group in _connected(said):
-        rows, columns = sorted({i for i, _ in group}), sorted({c for _, c in group})
-        for i, j in zip(rows, assigned([[score[i, c] if (i, c) in said else 0.0 for c in columns] for i in rows]), strict=True):
-            if j >= 0:
-                chosen[i] = columns[j]
-    found = [(own, chosen.get(own, -1)), *sorted((i, c) for i, c in chosen.items() if i != own)]
-    return [(functions[i][1], functions[i][2], said.get((i, c)), "docstring" if docstring and c == len(comments) - 1 else "content") for i, c in found]
-
-
-def _connected(pairs: Iterable[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Links in groups that share no function and no comment."""
-    whose: dict[tuple[str, int], list[tuple[int, int]]] = {}
-    for i, c in pairs:
-        a, b = whose.get(("f", i), []), whose.get(("c", c), [])
-        big, small = (a, b) if len(a) >= len(b) else (b, a)
-        if small is not big:
-            big.extend(small)
-        big.append((i, c))
-        for x, y in [*small, (i, c)]:
-            whose["f", x] = whose["c", y] = big
-    return list({id(g): g for g in whose.values()}.values())
+        own, functions = n, [*functions, (1 << 60, name or "", signature or "", True)]
+    known = [_known(name if i == own else f[1], parameters_of(signature if i == own and signature else f[2])) for i, f in enumerate(functions)]
+    read = [_read(text) for _, _, text in [*comments, (0, 0, docstring)]]
+    knowing: dict[str, list[int]] = {}  # functions whose name or parameters have a word
+    for i, (_, words, parameters) in enumerate(known):
+        for w in words | parameters:
+            knowing.setdefault(w, []).append(i)
+    silent = []  # functions of which each comment says nothing: they know all its tokens, so also the rarest
+    for r in read:
+        fewest = min(({*knowing.get(token.lower(), ()), *knowing.get(min(said), ())} for token, said in r[1]), key=len) if r else ()
+        silent.append([i for i in fewest if not _says(r[1], known[i])])
+
+    @lru_cache(4_000_000 // len(functions) + 1)  # 32 MB; other rows are made again
+    def row(c: int) -> np.ndarray:
+        scores = np.full(len(functions), -1.0)
+        if not read[c]:
+            return scores
+        if c == len(comments):
+            scores[own] = 4.0
+        else:
+            scores[:n] = plausible(c)
+        if silent[c]:
+            scores[silent[c]] = -1.0
+        return scores
+
+    of = {i: c for c, i in enumerate(_assigned(row, len(read), len(functions))) if i >= 0}
+    found = [(own, of.get(own, -1)), *sorted((i, c) for i, c in of.items() if i != own)]
+    return [(functions[i][1], functions[i][2], read[c][0] if c >= 0 else None, "docstring" if c == len(comments) else "content") for i, c in found]
 
 
 def documented(symbols: DataFrame) -> DataFrame:

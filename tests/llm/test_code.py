@@ -155,6 +155,36 @@ def test_links_by_brute_force():
         assert abs(total - best) < 1e-9, content
 
 
+def test_every_fitting_function_is_a_candidate():
+    import itertools
+    import random
+
+    comment = lambda i, tags: f"/**\n * Holds rows, number {i}.\n" + "".join(f" * @param {p} is kept\n" for p in tags) + " */\nlet y = 1;"
+    function = lambda i, own: f"function f{i}({', '.join(own)}) {{\n}}"
+    rng = random.Random(5)
+    for case in range(41):
+        parts = [(True, "a")] * 4 + [(False, "a")] * 4 if not case else [(rng.random() < 0.5, rng.sample("ab", rng.randint(1, 2))) for _ in range(9)]
+        content = "\n".join((comment if is_comment else function)(i, tags) for i, (is_comment, tags) in enumerate(parts))
+        lines = content.split("\n")
+        n, comments = sum(not c for c, _ in parts), [i for i, (c, _) in enumerate(parts) if c]
+        functions = [i for i, (c, _) in enumerate(parts) if not c]
+        first = {i: next(k for k, x in enumerate(lines) if x.startswith(f"function f{i}(")) for i in functions}
+        first |= {i: next(k for k, x in enumerate(lines) if f"number {i}." in x) - 1 for i in comments}
+        score = [[0.0 if not set(parts[c][1]) <= set(parts[f][1]) or f == max((x for x in functions if x < c), default=-1) else 1 + 1 / (2 + abs(first[f] - first[c])) for c in comments] for f in functions]
+        best = max((sum(score[i][j] for i, j in enumerate(p) if j < len(comments)) for p in set(itertools.permutations([*range(len(comments)), *[9] * n], n))), default=0.0) if n <= 4 else None
+        got = {f: doc for f, _, doc, _ in docs.links(content, "none", None) if doc}
+        total = sum(score[functions.index(int(f[1:]))][comments.index(int(doc.split("number ")[1].split(".")[0]))] for f, doc in got.items())
+        assert best is None or abs(total - best) < 1e-9, content
+        assert case or len(got) == 4
+
+
+def test_many_comments_far_from_many_functions():
+    top = "\n".join(f"/** Holds rows, number {i}.\n * @param x is kept */\nlet y = 1;" for i in range(300))
+    content = top + "\n" + "\n".join(f"function f{i}(x) {{\n}}" for i in range(300))
+    got = docs.links(content, "f299", "function f299(x) {")
+    assert got[0][2] and len({doc for _, _, doc, _ in got if doc}) == 300
+
+
 def test_assignment_is_the_best():
     import itertools
     import random
