@@ -175,7 +175,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     """
     held = docs.filter(F.length(text) >= least).select(F.col(key).alias(key), F.col(text).alias("text"), hash128(F.col(text)).alias("hash"))
     texts = cut(held.groupBy("hash").agg(F.first("text").alias("text")).withColumn("class", F.monotonically_increasing_id()))  # fixed by being written
-    met = pairs.sharing(_keyed(texts.select("class", "text"), least), "key", "class")
+    keyed = cut(_keyed(texts.select("class", "text"), least))  # made once: counting the keys and both sides of the pairs read it
+    met = pairs.sharing(keyed, "key", "class")
     texts_of = lambda side: texts.select(F.col("class").alias(side), F.col("text").alias(f"text_{side}"))
     both = met.join(texts_of("a"), "a").join(texts_of("b"), "b")
 

@@ -31,6 +31,14 @@ def test_shared_pairs_by_brute_force(spark):
     assert spans.shared_pairs(df.limit(0)).count() == 0
 
 
+def test_keys_of_a_text_are_made_once(spark):
+    d = spark.createDataFrame([(1, "ab" * 300), (2, "x" + "ab" * 300), (3, None)], "doc_id bigint, text string")
+    _, links = spans.shared_spans(d, spans=False)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the verification; the keys are read from what was written
+    assert links.count() == 1
+
+
 def test_a_stretch_that_many_share(spark, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK", 5)
     rng = random.Random(15)
